@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriloom.llm import queries_text
+from veriloom.llm import canonical_list, queries_text
 
-QUERIES = dict(queries_text.QUERIES)
+QUERIES = queries_text.QUERIES | canonical_list.QUERIES
 ORACLE_SQL: dict[str, str] = {}
