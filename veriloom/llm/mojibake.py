@@ -218,6 +218,9 @@ _HIGH_RUN = re.compile(r"[^\x00-\x7f][^\s]*[^\x00-\x7f]|[^\x00-\x7f]")
 _JAPANESE_RUN = re.compile(r"[^\x00-\x7f](?:[!-~]?[^\x00-\x7f])*[!-~]?")
 
 
+_DOUBLE_BYTE = re.compile("[\x80-\x9fƒ„†‡ˆ‰Š‹ŒŽ•˜š›žŸ¤¥‚]")
+
+
 def _is_utf8(data: bytes) -> bool:
     try:
         data.decode()
@@ -245,7 +248,23 @@ def _japanese(run: str) -> str | None:
     return None
 
 
-_HAS_HIGH = re.compile(r"[^\x00-\x7f]")
+#: Words already judged, per Python worker.
+_VERDICTS: dict[str, tuple[str, str, tuple[str, str]] | str | None] = {}
+
+
+def _verdict(w: str) -> tuple[str, str, tuple[str, str]] | str | None:
+    """A word's repair (part, new, pair); "odd" if only its text can tell; None if it is sound."""
+    core = w.strip(_EDGE)
+    if core.isascii():
+        return "odd" if w != core and any(c not in "“”‘’„«»…–—¿¡" for c in w if not c.isascii()) or (core and w[0] in "‘’“”…–—" and core.islower()) else None
+    if any(c.isascii() and c.isalpha() for c in core):
+        for part in dict.fromkeys((core, w)):
+            if got := _latin_word(part):
+                return part, got[0], got[1]
+        return None if _latin_ok(core) and core == w else "odd"
+    return "odd" if not _is_russian_word(w) or _looks_wrong(w) else None
+
+
 
 
 def repair(text: str | None) -> tuple[bool, str | None]:
@@ -254,7 +273,7 @@ def repair(text: str | None) -> tuple[bool, str | None]:
         return False, text
     damaged = "�" in text
     # 1. double-byte text read byte by byte
-    if re.search("[\x80-\x9f‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¤¥]", text):
+    if _DOUBLE_BYTE.search(text):
         for m in list(_JAPANESE_RUN.finditer(text)):
             new = _japanese(m[0])
             if new is not None:
@@ -298,22 +317,20 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     odd: list[str] = []
     fixes: dict[str, str] = {}
     pairs: dict[tuple[str, str], int] = {}
-    for w in dict.fromkeys(m[0] for m in _SUSPECT_WORD.finditer(text)):
-        core = w.strip(_EDGE)
-        if core.isascii():
-            if w != core:
-                odd.append(w)
+    for w in dict.fromkeys(_SUSPECT_WORD.findall(text)):
+        got = _VERDICTS.get(w, 0)
+        if got == 0:
+            if len(_VERDICTS) > 300_000:
+                _VERDICTS.clear()
+            got = _VERDICTS[w] = _verdict(w)
+        if got is None:
             continue
-        if any(c.isascii() and c.isalpha() for c in core):
-            for part in (core, w):
-                if got := _latin_word(part):
-                    fixes[part] = got[0]
-                    pairs[got[1]] = pairs.get(got[1], 0) + 1
-                    break
-            else:
-                odd.append(w)
-        else:
+        if got == "odd":
             odd.append(w)
+        else:
+            part, new, pair = got
+            fixes[part] = new
+            pairs[pair] = pairs.get(pair, 0) + 1
     if pairs:
         damaged = True
         true, wrong = max(pairs, key=pairs.get)
