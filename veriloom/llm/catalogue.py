@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriloom.llm import canonical_list, email_parts, queries_text
+from veriloom.llm import canonical_list, email_parts, pii, queries_text
 
-QUERIES = queries_text.QUERIES | canonical_list.QUERIES | email_parts.QUERIES
+QUERIES = queries_text.QUERIES | canonical_list.QUERIES | email_parts.QUERIES | pii.QUERIES
 ORACLE_SQL: dict[str, str] = {}
