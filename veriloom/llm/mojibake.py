@@ -349,10 +349,16 @@ def repair(text: str | None) -> tuple[bool, str | None]:
 
 
 def _reread_word(word: str, true: str, wrong: str) -> str:
-    if word.isascii() or (_is_russian_word(word) and not _looks_wrong(word)):
+    """A word of a text of which the pair is known; a sound word stays unless only its capitals are odd."""
+    if word.isascii():
         return word
     new = reread(word, true, wrong)
-    return word if new is None else new
+    if new is None:
+        return word
+    if _is_russian_word(word) and not _looks_wrong(word):
+        core = new.strip(_EDGE)
+        return new if word.isupper() and core.islower() and _is_russian_word(new) else word
+    return new
 
 
 def _looks_wrong(word: str) -> bool:
