@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from veriloom.plans import timestamp_queries
+from veriloom.plans import fixture_queries, mail_queries, timestamp_queries
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "first_contact"
 
 
 def all_queries() -> dict:
-    return dict(timestamp_queries.QUERIES)
+    return mail_queries.REGISTRY | fixture_queries.QUERIES | timestamp_queries.QUERIES
 
 
 def all_oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(mail_queries.SQL)
