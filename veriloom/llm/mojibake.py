@@ -271,6 +271,26 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     """(whether any part was decoded wrongly, the text with the spans put right that still can be)."""
     if text is None or text.isascii():
         return False, text
+    for w in text.replace("\n", " ").split(" "):  # at plain spaces only: others can be part of a garbled sequence
+        if not w.isascii() and not (_SOUND.get(w) or _is_sound(w)):
+            return _repair(text)
+    return False, text
+
+
+#: Words (between spaces) that hold nothing suspicious by themselves, per Python worker.
+_SOUND: dict[str, bool] = {}
+
+
+def _is_sound(word: str) -> bool:
+    if len(_SOUND) > 300_000:
+        _SOUND.clear()
+    sound = "�" not in word and not _DOUBLE_BYTE.search(word) and next(automaton().iter(word), None) is None and all(_verdict(w) is None for w in _SUSPECT_WORD.findall(word))
+    if len(word) <= 60:
+        _SOUND[word] = sound
+    return sound
+
+
+def _repair(text: str) -> tuple[bool, str]:
     damaged = "�" in text
     # 1. double-byte text read byte by byte
     if _DOUBLE_BYTE.search(text):
