@@ -40,7 +40,9 @@ def test_pack_in_rounds(spark, monkeypatch):
         assert all(f <= capacity for f in fill.values())
         used = sum(fill.values())
         boxes = sum(1 for f in fill.values() if f)
-        assert 1 - used / (boxes * capacity) < 0.05
+        whole = best_fit([s % capacity or capacity for _, s in sizes if s], capacity)
+        full = sum((s - (s % capacity or capacity)) // capacity for _, s in sizes if s)
+        assert used == sum(n or 0 for _, n in sizes) and boxes <= 1.04 * (len(set(whole)) + full) + 3
         assert all(n == 1 for k, n in ((r.id, sum(1 for x in mine if x.id == r.id)) for r in mine[:50]) if (dict(sizes)[k] or 0) <= capacity)
     assert pack(spark, df.where("false"), "id", "n", runs).count() == 0
     with pytest.raises(ValueError):

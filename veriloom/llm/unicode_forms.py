@@ -24,8 +24,8 @@ from veriloom.llm.mojibake import repair
 #: Letters that look like a Latin letter, by alphabet (phonetic letters among them).
 TO_LATIN = dict(
     zip(
-        "АВЕЗКМНОРСТУХЅІЈԌԚԜӀаеорсухѕіјһӏԁԛԝѵӓӧүгпвнктм" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορτυχωϲϳ" + "ՕՍօսոհցքյ" + "ɑɡɩɪʏʀɴʜʙɢʟᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢ",
-        "ABE3KMHOPCTYXSIJGQWIaeopcyxsijhldqwväöyrnBHKTM" + "ABEZHIKMNOPTYXaykivoptuxwcj" + "OUounhgpj" + "agiiYRNHBGLACDEJKMOPTUVWZ",
+        "АВЕЗКМНОРСТУХЅІЈԌԚԜӀаеорсухѕіјһӏԁԛԝѵӓӧү" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορτυχωϲϳ" + "ՕՍօսոհցքյ" + "ɑɡɩɪʏʀɴʜʙɢʟᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢ",
+        "ABE3KMHOPCTYXSIJGQWIaeopcyxsijhldqwväöy" + "ABEZHIKMNOPTYXayikvoptuxwcj" + "OUounhgpj" + "agiiYRNHBGLACDEJKMOPTUVWZ",
         strict=False,
     )
 )
