@@ -114,7 +114,7 @@ def test_typos(spark):
 
 def test_recogniser(spark):
     who, acts, roles = default_recogniser(frozenset({"oliswick travel"}))("Oliswick Travel asks. Please verify your account. The IT helpdesk is here.")
-    assert who == ["Oliswick Travel"] and acts == ["Please verify your account."] and "it helpdesk" in roles
+    assert who == ["Oliswick Travel"] and acts == ["Please verify your account"] and "it helpdesk" in roles
     assert default_recogniser()(None) == ([], [], [])
     df = spark.createDataFrame([(1, "Click here. See (https://a.example/x) now."), (2, None)], "id int, t string")
     assert {r.id: r.cta_urls for r in recognise(df, F.col("t"), []).collect()}[1] == ["https://a.example/x"]

@@ -32,9 +32,8 @@ def first_contacts(mails: DataFrame, keys: list[str], order: list[str], flagged:
     """
     counted = flagged & ~exempt
     rank = F.struct(*[F.col(c) for c in order])
-    first = mails.where(counted).groupBy(*keys).agg(F.min(rank).alias("_first"))
-    on = [mails[k].eqNullSafe(first[k]) for k in keys]
-    joined = mails.join(first, on, "left").drop(*[first[k] for k in keys])
+    first = mails.where(counted).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min(rank).alias("_first"))
+    joined = mails.join(first, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
     is_first = rank == F.col("_first")
     action = F.when(~flagged, "ok").when(exempt, "dmarc_exempt").when(is_first, "flag_first_contact").otherwise("whitelist_suppressed")
     return joined.withColumn("action", action).withColumn("static_fp", counted).withColumn("adaptive_fp", counted & F.coalesce(is_first, F.lit(False))).drop("_first")

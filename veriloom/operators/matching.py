@@ -85,10 +85,12 @@ def nearest(queries: DataFrame, query_id: str, query_vec: str, base: DataFrame,
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(flat, columns=["_q", "_b", "score", "rank"]).astype({"rank": "int32"}), preserve_index=False)
 
         return renamed.mapInArrow(run, out_schema).toDF(*names, "score", "rank")
-    blocks = -(-int(count) // BLOCK)
-    spread = base.where(F.col(base_vec).isNotNull()).select(F.col(base_id).alias("_b"), F.col(base_vec).alias("_w")).withColumn("_block", F.pmod(F.xxhash64("_b"), F.lit(blocks)))
-    asked = renamed.withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(max(1, blocks)))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    query_parts = asked.groupBy("_block", "_part")
+    # Neither side is ever whole in one task: blocks of the base meet parts of the queries.
+    blocks, parts = -(-int(count) // BLOCK), max(1, -(-renamed.count() // BLOCK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    spread = base.where(F.col(base_vec).isNotNull()).select(F.col(base_id).alias("_b"), F.col(base_vec).alias("_w"))
+    spread = spread.withColumn("_block", F.pmod(F.xxhash64("_b"), F.lit(blocks)).cast("int")).withColumn("_part", numbers(parts))
+    asked = renamed.withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(parts)).cast("int")).withColumn("_block", numbers(blocks))
 
     def block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -98,7 +100,7 @@ def nearest(queries: DataFrame, query_id: str, query_vec: str, base: DataFrame,
         return pd.DataFrame([(me, i, float(s), r) for me, hits in zip(left["_q"], got, strict=True) for r, (i, s) in enumerate(hits, 1)], columns=["_q", "_b", "score", "rank"])
 
     parts = asked.select("_block", "_part").distinct()
-    found = query_parts.cogroup(spread.join(parts, "_block").groupBy("_block", "_part")).applyInPandas(block, out_schema)
+    found = asked.groupBy("_block", "_part").cogroup(spread.groupBy("_block", "_part")).applyInPandas(block, out_schema)
     pack = F.struct((-F.col("score")).alias("s"), F.col("_b").alias("b"))
     merged = found.groupBy("_q").agg(F.slice(F.array_sort(F.collect_list(pack)), 1, k).alias("best")).select("_q", F.posexplode("best").alias("r", "x"))
     return merged.select("_q", F.col("x.b").alias("_b"), (-F.col("x.s")).alias("score"), (F.col("r") + 1).cast("int").alias("rank")).toDF(*names, "score", "rank")

@@ -43,7 +43,7 @@ def default_recogniser(names: frozenset[str] = frozenset(), roles: tuple[str, ..
             found.setdefault(m[1].lower(), m[1])
         low = text.lower()
         relations = [r for r in roles if r in low]
-        sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+        sentences = [s.strip().rstrip(".") for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
         actions = [s for s in sentences if any(re.search(rf"\b{v}\b", s.lower()) for v in REQUESTS)]
         if not found and not relations and re.search(r"(?i)\bfrom:\s*admin", text):
             relations = ["admin"]

@@ -108,7 +108,7 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema, timezone="UTC")
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             rows = [parse_bytes(p, c) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
             yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
