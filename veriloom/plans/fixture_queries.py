@@ -5,8 +5,6 @@ They have no SQL: the results come from parsers, clusterers, models and streams.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,9 +101,9 @@ def stream_first_contact(s: SparkSession, d: str) -> DataFrame:
     """First contacts of flagged events as a stream run to its end."""
     source, out = shared_path(s, "stream-in"), shared_path(s, "stream-out")
     e = table(s, d, "events").where("event_type = 'error'")
-    e.select(F.col("user_id").cast("string").alias("user"), F.lit("s").alias("sender_key"), F.floor("value").cast("string").alias("claimed_identity"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("mail_id"), F.col("ts").cast("double").alias("at")).write.parquet(source)
+    e.select(F.col("user_id").cast("string").alias("user"), F.lit("s").alias("sender_key"), F.floor("value").cast("string").alias("claimed_identity"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("mail_id"), F.col("ts").cast("timestamp").cast("double").alias("at")).write.parquet(source)
     stream = s.readStream.schema("user string, sender_key string, claimed_identity string, mail_id string, at double").parquet(source)
-    checkpoint = shared_path(s, "stream-checkpoint") if s.conf.get("spark.checkpoint.dir", "") else tempfile.mkdtemp()
+    checkpoint = shared_path(s, "stream-checkpoint")
     run = first_contact_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return s.read.parquet(out)
