@@ -145,11 +145,16 @@ def _content(line: str) -> str:
 
 def _closing(line: str) -> bool:
     text = line.strip().rstrip(",.!;:-–—、。 ").lower()
-    return len(text) <= 45 and text in _CLOSING
+    if len(text) > 45:
+        return False
+    if "�" in text and sum(c.isalpha() for c in text) >= 3:  # characters were lost: one each, or one for two bytes
+        lost = re.compile(re.sub("(?:�)+", lambda m: f".{{1,{len(m[0])}}}", "".join(c if c == "�" else re.escape(c) for c in text)))
+        return any(lost.fullmatch(c) for c in _CLOSING)
+    return text in _CLOSING
 
 
 _SENTENCE_END = re.compile(r"[.!?…。]['\"”»)]*$")
-_CONTACT = re.compile(r"@|www\.|https?:|^\W*(?:tel|phone|mobile|mob|fax|e-?mail|mail|t|m|e|p|f)\b\.?\s?:?|\+?\d[\d\s().-]{6,}|\|", re.I)
+_CONTACT = re.compile(r"@|www\.|https?:|^\W*(?:tel|phone|mobile|mob|fax|e-?mail|mail|t|m|e|p|f)\b\.?\s?:?|\+?\d(?:[\s().-]{0,2}\d){7,}|\|", re.I)
 
 
 def _signature_like(lines: list[str]) -> bool:
@@ -313,7 +318,7 @@ def not_new(text: str | None) -> list[int]:
             line = lines[k]
             if not line.strip():
                 continue
-            if _closing(line) or (_DELIMITER.match(line) and any(x.strip() for x in lines[k + 1 : j])):
+            if _closing(line) or (_DELIMITER.match(line) and k + 1 < j and lines[k + 1].strip()):
                 if _signature_like(lines[k + 1 : j]):
                     for x in range(k, j):
                         out[x] = True
