@@ -43,6 +43,8 @@ DECORATIONS = frozenset(
 #: The same as they end or begin a name written in one.
 GLUED_END = sorted("team viaquickpost viainkwellmail mobileapp customersupport customerservice kundenservice securityalerts securityalert helpcentre helpdesk notifications billing noreply support service ltd limited gmbh inc llc plc bv corp co andcokg cokg usa europe emea nordic iberia deutschland france uk tm ag sa".split(), key=len, reverse=True)
 GLUED_START = ("serviceclient", "team", "the")
+#: Words for kinds of organisations, never a name by themselves.
+KINDS = frozenset("university museum bank city town college school hospital institute ministry department foundation society association club church council library theatre hotel airport societe fundacion grupo cafe borse gesellschaft verein stiftung".split())
 _JOINERS = frozenset("and und et y e".split())
 _FOLD = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d"})
 #: Figures and signs typed or recognised in place of letters.
@@ -161,6 +163,7 @@ class Matcher:
     alias_words: dict[str, set[int]] = field(default_factory=dict)
     decor: Trie = field(default_factory=Trie)
     closest: dict[str, bool] = field(default_factory=dict)
+    carriers: Trie = field(default_factory=Trie)
 
     def __post_init__(self) -> None:
         self.exact = frozenset(n for n, _ in self.entries)
@@ -171,7 +174,7 @@ class Matcher:
                 holders.setdefault(w, set()).add(k)
         # a word shared beside different companions is a trade or a kind; one shared first word names a family of brands
         first = {ws[0] for ws in words if ws}
-        self.common = {w for w, h in holders.items() if len(h) > 2 or (len(h) == 2 and w not in first)} | (DECORATIONS & set(holders))
+        self.common = {w for w, h in holders.items() if len(h) > 2 or (len(h) == 2 and w not in first)} | ((DECORATIONS | KINDS) & set(holders))
         kinds = {ws[0] for ws, (n, _) in zip(words, self.entries, strict=True) if len(ws) > 1 and ws[1] not in self.common and len(holders[ws[1]]) == 1 and "&" not in n}
         after_of = {ws[-1] for ws in words if "of" in ws}
         for k, (name, hosts) in enumerate(self.entries):
@@ -212,6 +215,8 @@ class Matcher:
                     self.longest = max(self.longest, len(h))
         for w in DECORATIONS:
             self.decor.add(w, w)
+        for w in GLUED_END:
+            self.carriers.add(w, w)
 
     def _name(self, form: str, k: int) -> None:
         self.names.add(form, k)
@@ -228,6 +233,15 @@ class Matcher:
             self.closest[w] = got
         return got
 
+    def _is_carrier(self, tail: str) -> bool:
+        """Whether the end of a value is a misspelt phrase that names nobody."""
+        got = self.closest.get("\x00" + tail)
+        if got is None:
+            k = 0 if len(tail) < 3 else 1 if len(tail) < 6 else 2
+            got = bool(k) and any(len(p) >= 3 and (d == 1 or len(p) >= 7) for d, p, _ in self.carriers.search(tail, k))
+            self.closest["\x00" + tail] = got
+        return got
+
     def _best(self, core: str, k: int) -> tuple[int, list[int]] | None:
         """(distance, entries) nearest to a joined core within the limits."""
         if len(core) > self.longest + 3 or len(core) < 3:
@@ -362,7 +376,8 @@ class Matcher:
         while right > 0 and self._is_decoration(words[right - 1]):
             right -= 1
         best: tuple[int, list[int]] | None = None
-        cores = sorted({(i, j) for i in range(0, min(left, n - 1) + 1) for j in range(max(right, 1), n + 1) if i < j}, key=lambda x: (x[0] - x[1], x[0]))
+        ends = {*range(max(right, 1), n + 1)} | {j for j in range(max(1, n - 4), n) if self._is_carrier(squash(words[j:]))}
+        cores = sorted({(i, j) for i in range(0, min(left, n - 1) + 1) for j in ends if i < j}, key=lambda x: (x[0] - x[1], x[0]))
         for want in (0, 3):
             for i, j in cores:
                 core = words[i:j]
