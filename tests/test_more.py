@@ -65,3 +65,31 @@ def test_sql_functions(spark):
     rows = spark.sql("""select url, mailto from page_links('<a href="/x">x</a><a href="mailto:a@b.example">m</a>', 'https://a.example/')""").collect()
     assert {(r.url, r.mailto) for r in rows} == {("https://a.example/x", False), ("mailto:a@b.example", True)}
     assert [r.email for r in spark.sql("select email from html_emails('write a@b.example')").collect()] == ["a@b.example"]
+
+
+def test_model_text_and_hooks(spark):
+    from veriloom.functions.model_text import detector_words, label_headers, page_breaks
+    from veriloom.operators.hooks import call, language, once_each, text_or_rendered
+
+    t = spark.createDataFrame([("Don't click <http://a.example/x>!\n> old\nmail me@a.example now " + "x" * 40,), (None,)], "t string")
+    assert t.select(detector_words(F.col("t")).alias("v")).first().v == "do not click <url> old mail <email> now"
+    assert t.select(page_breaks(F.lit('<head>x</head>A<br>B<a href="u">c</a>')).alias("v")).first().v == "a\nb <url>"
+    row = spark.createDataFrame([("a<b", "Oliswick", "s", ["oliswick"], True, "Brand")], "s string, r string, t string, i array<string>, b boolean, m string")
+    got = row.select(label_headers("s", "r", "t", "i", "b", "m").alias("v")).first().v
+    assert "a&lt;b" in got.sender and '<span class="identity">Oliswick</span>' in got.recipient
+    seen = []
+
+    def flaky(x):
+        seen.append(x)
+        if len(seen) < 3:
+            raise OSError("later")
+        return x.upper()
+
+    assert call(flaky, "a", wait=0) == ("A", None) and call(lambda x: 1 / 0, "a", 2, 0)[0] is None
+    d = spark.createDataFrame([("a",), ("a",), (None,)], "x string")
+    assert sorted((r.x or "", r.y or "") for r in once_each(d, "x", str.upper, "y").collect()) == [("", ""), ("a", "A"), ("a", "A")]
+    assert once_each(d, "x", None, "y").where("y = 'a'").count() == 2
+    l = spark.createDataFrame([("the plan of the week is good",), ("der Plan ist nicht für heute",), ("",), (None,)], "x string")
+    assert [r.v for r in l.select(language("x").alias("v")).collect()] == ["en", "de", "", ""]
+    pages = spark.createDataFrame([("long enough text that is readable by itself", "<p>"), ("short", "<b>page</b>")], "t string, h string")
+    assert sorted(r.readable for r in text_or_rendered(pages, "t", "h", lambda p: "rendered").collect()) == ["long enough text that is readable by itself", "rendered"]

@@ -1,9 +1,6 @@
-from datetime import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
-from veriloom.functions import domains as D
 from veriloom.operators import allow as A
 from veriloom.operators import evaluate as E
 from veriloom.operators import matching as M
@@ -157,5 +154,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count("flag_first_contact") == 2 and len(got) == 7
 
 
-def test_sender_domain_example(spark):
-    assert D.RESERVED and datetime(2024, 1, 1)
+def test_identity_domains(spark):
+    from veriloom.operators.expand import aligned_with_brand, allowed_domains, effective_cores, merged_domains, sitemap_candidates, validated_keeps
+
+    t = lambda *rows: spark.createDataFrame([(r,) for r in rows] or [(None,)], "domain string")
+    emails = spark.createDataFrame([("a@oliswick.example",), ("b@oliswick-mail.example",), ("c@other.example",), ("d@oliswick.gov",)], "email string")
+    assert [r.domain for r in validated_keeps(t("OTHER.example.", "none.example"), emails).collect()] == ["OTHER.example."]
+    seen = t("oliswick-mail.example", "other.example", "oliswick.gov", "olisvvick.example")
+    assert sorted(r.domain for r in aligned_with_brand(seen, t("oliswick.example")).collect()) == ["olisvvick.example", "oliswick-mail.example"]
+    got = effective_cores(t("oliswick.example"), t("none.example"), t("other.example", "unseen.example"), emails)
+    assert sorted(r.domain for r in got.collect()) == ["oliswick-mail.example", "oliswick.example", "other.example"]
+    assert aligned_with_brand(seen, t().where("false")).count() == 0
+    assert merged_domains(t("A.example"), t("a.example.", "b.example")).count() == 2
+    plans = spark.createDataFrame([("o", ["https://www.a.example/x"], ["B.example"])], "org string, urls array<string>, hints array<string>")
+    assert sorted(r.domain for r in allowed_domains(plans, "org", "urls", "hints").collect()) == ["a.example", "b.example"]
+    urls = spark.createDataFrame([("https://a.example/contact",), ("https://a.example/x/y.html",), ("https://b.example/contact",)], "url string")
+    assert [r.url for r in sitemap_candidates(urls, ["a.example"], 1).collect()] == ["https://a.example/contact"]

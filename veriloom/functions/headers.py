@@ -118,3 +118,15 @@ def tri_state(value: Column) -> Column:
     """A nullable boolean from the many spellings of yes, no and unknown."""
     low = F.lower(F.trim(value.cast("string")))
     return F.when(low.isin("true", "yes", "y", "t", "1", "1.0"), F.lit(True)).when(low.isin("false", "no", "n", "f", "0", "0.0"), F.lit(False))
+
+
+def is_real_sender(address: Column) -> Column:
+    """Whether an address can be a person's: well formed, no role, list or anonymous name before the @."""
+    low = F.lower(F.trim(address))
+    roles = r"^(?:no-?reply|do-?not-?reply|postmaster|mailer-daemon|bounce[s]?|notifications?|newsletter|support|info|admin|webmaster|team|service|alerts?|list|owner)(?:[.+_-].*)?@"
+    return F.coalesce(low.rlike(r"^[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+$") & ~low.rlike(roles), F.lit(False))
+
+
+def valid_record(subject: Column, body: Column, least: int = 80, most: int = 6000) -> Column:
+    """A mail with a subject and a body of a usual length."""
+    return (F.coalesce(F.trim(subject), F.lit("")) != "") & F.coalesce(F.length(body).between(least, most), F.lit(False))

@@ -57,6 +57,37 @@ def header_features(headers: Column) -> dict[str, Column]:
         "id_dots": F.regexp_count(mid_left, F.lit(r"\.")),
         "id_domain_length": F.length(mid_right),
         "id_domain_is_from": (mid_right != F.lit("")).cast("int") * (F.lower(mid_right) == F.coalesce(email_host(F.regexp_replace(first("From"), r".*<|>.*", "")), F.lit(""))).cast("int"),
+        "id_digits": F.regexp_count(mid_left, F.lit("[0-9]")),
+        "id_dashes": F.regexp_count(mid_left, F.lit("[-_]")),
+        "id_dollars": F.regexp_count(mid_left, F.lit("[$]")),
+        "id_plus": F.regexp_count(mid_left, F.lit("[+]")),
+        "id_missing": (mid == "").cast("int"),
+        "id_brackets": mid.rlike("^<.*>$").cast("int"),
+        "boundary_missing": (boundary == "").cast("int"),
+        "boundary_is_number": boundary.rlike("^[0-9]+$").cast("int"),
+        "boundary_has_next": boundary.rlike("(?i)next").cast("int"),
+        "boundary_has_part": boundary.rlike("(?i)part").cast("int"),
+        "charset_missing": (charset == "").cast("int"),
+        "n_to": F.regexp_count(first("To"), F.lit("@")),
+        "n_cc": F.regexp_count(first("Cc"), F.lit("@")),
+        "n_bcc": F.regexp_count(first("Bcc"), F.lit("@")),
+        "n_from": F.size(named("From")),
+        "n_content_type": F.size(named("Content-Type")),
+        "n_dkim": F.size(named("DKIM-Signature")),
+        "n_auth": F.size(named("Authentication-Results")),
+        "n_list_headers": F.size(F.filter(names, lambda n: F.startswith(n, F.lit("list-")))),
+        "multipart": F.lower(first("Content-Type")).startswith("multipart").cast("int"),
+        "is_html": F.lower(first("Content-Type")).startswith("text/html").cast("int"),
+        "subject_encoded": F.contains(first("Subject"), F.lit("=?")).cast("int"),
+        "from_encoded": F.contains(first("From"), F.lit("=?")).cast("int"),
+        "from_has_name": first("From").rlike(r"\S.*<").cast("int"),
+        "date_missing": (first("Date") == "").cast("int"),
+        "mailer_missing": (F.coalesce(header(headers, "X-Mailer"), header(headers, "User-Agent"), F.lit("")) == "").cast("int"),
+        "usual_ratio": F.when(F.size(names) > 0, F.size(F.array_intersect(names, F.array(*[F.lit(x) for x in USUAL_HEADERS]))) / len(USUAL_HEADERS)).otherwise(F.lit(-1.0)),
+        "x_ratio": F.when(F.size(names) > 0, F.size(F.filter(names, lambda n: F.startswith(n, F.lit("x-")))) / F.size(names)).otherwise(F.lit(-1.0)),
+        "reply_differs": F.when(F.size(named("Reply-To")) > 0, (F.lower(F.regexp_extract(first("Reply-To"), r"@([^>\s]+)", 1)) != F.lower(F.regexp_extract(first("From"), r"@([^>\s]+)", 1))).cast("int")).otherwise(F.lit(-1)),
+        "return_differs": F.when(F.size(named("Return-Path")) > 0, (F.lower(F.regexp_extract(first("Return-Path"), r"@([^>\s]+)", 1)) != F.lower(F.regexp_extract(first("From"), r"@([^>\s]+)", 1))).cast("int")).otherwise(F.lit(-1)),
+        "received_ratio": F.when(F.size(names) > 0, F.size(named("Received")) / F.size(names)).otherwise(F.lit(-1.0)),
         "from_domain_ratio": F.when(F.size(froms) > 0, F.size(F.array_distinct(froms)) / F.size(froms)).otherwise(F.lit(-1.0)),
     }
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in out.items()}

@@ -53,9 +53,10 @@ def message_features(s: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_names(s: SparkSession, d: str) -> DataFrame:
-    """Claimed identities of each sender clustered, distinct ones in order."""
-    said = table(s, d, "decision").where("claimed_identity is not null and sender is not null").select("sender", "claimed_identity").distinct()
-    return said.groupBy("sender").agg(F.sort_array(F.collect_set("claimed_identity")).alias("names")).select("sender", F.size("names").alias("names"), M.cluster_strings("names").alias("clusters"))
+    """The capitalised names of each text clustered, distinct ones in order; no group is larger than one text."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{3,}(?: [A-Z][a-z]{3,})+)"), F.lit(1)))
+    rows = table(s, d, "documents").where("text is not null").select("doc_id", names.alias("names")).where(F.size("names") > 1)
+    return rows.select("doc_id", F.size("names").alias("names"), M.cluster_strings("names").alias("clusters"))
 
 
 def claimed_brands(s: SparkSession, d: str) -> DataFrame:

@@ -455,3 +455,64 @@ def star_rates(s: SparkSession, d: str) -> DataFrame:
 @query("line_revenue", "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem group by 1, 2")
 def line_revenue(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# ---------------------------------------------------------------- predicates and small transforms
+
+
+@query("real_senders", r"""
+    select coalesce(regexp_matches(lower(trim(sender_address)), '^[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+$') and not regexp_matches(lower(trim(sender_address)), '^(?:no-?reply|do-?not-?reply|postmaster|mailer-daemon|bounce[s]?|notifications?|newsletter|support|info|admin|webmaster|team|service|alerts?|list|owner)(?:[.+_-].*)?@'), false) as real, count(*) as n from mail_meta group by 1""")
+def real_senders(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "mail_meta").groupBy(H.is_real_sender(F.col("sender_address")).alias("real")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("valid_records", "select doc_id from documents where trim(coalesce(subject, ''), ' ') <> '' and length(text) between 80 and 6000")
+def valid_records(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where(H.valid_record(F.col("subject"), F.col("text"))).select("doc_id")
+
+
+@query("entity_clean", r"select distinct regexp_replace(trim(claimed_identity, ' '), '[()\[\]:*^]', '', 'g') as name from decision where claimed_identity is not null")
+def entity_clean(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "decision").where("claimed_identity is not null").select(T.clean_entity(F.col("claimed_identity")).alias("name")).distinct()
+
+
+@query("safe_names", r"select file, left(regexp_replace(regexp_replace(trim(file, ' '), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 60) as safe from (select distinct file from req2_llm_classified)")
+def safe_names(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "req2_llm_classified").select("file").distinct().select("file", T.safe_name(F.col("file")).alias("safe"))
+
+
+@query("brand_prefixes", """
+    select brand, prefix from (select brand, left(first, 4) as prefix from (select distinct brand, string_split(lower(trim(x)), '.')[1] as first from (select brand, unnest(domains) as x from kb)) where length(first) >= 4
+      union select brand, left(first, 6) from (select distinct brand, string_split(lower(trim(x)), '.')[1] as first from (select brand, unnest(domains) as x from kb)) where length(first) >= 6)""")
+def brand_prefixes(s: SparkSession, d: str) -> DataFrame:
+    kb = table(s, d, "kb").select("brand", F.explode("domains").alias("x"))
+    return kb.select("brand", F.explode(D.brand_prefixes(F.col("x"))).alias("prefix")).distinct()
+
+
+@query("kb_expanded", """
+    select brand, count(distinct dom) as domains from (select brand, lower(x) as dom from (select brand, unnest(domains) as x from kb) union
+      select claimed_organization as brand, lower(sender_domain) as dom from req2_llm_classified where lower(trim(from_address_is_official)) = 'true' and claimed_organization is not null and sender_domain is not null) group by 1""")
+def kb_expanded(s: SparkSession, d: str) -> DataFrame:
+    """The knowledge base with the sender domains that were found official for a claimed organisation."""
+    found = table(s, d, "req2_llm_classified").where(H.tri_state(F.col("from_address_is_official")) & F.col("claimed_organization").isNotNull() & F.col("sender_domain").isNotNull())
+    found = found.groupBy(F.col("claimed_organization").alias("brand")).agg(F.collect_set("sender_domain").alias("domains"))
+    return M.expand_knowledge_base(s, table(s, d, "kb"), found).select("brand", F.size("domains").cast("long").alias("domains"))
+
+
+@query("token_places", """
+    select doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' and w[i + 1] = 'team'))::bigint as n from (select doc_id, string_split(lower(text), ' ') as w from documents where text is not null)""")
+def token_places(s: SparkSession, d: str) -> DataFrame:
+    from veriloom.functions.annotate import places
+
+    w = F.split(F.lower("text"), " ")
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.size(places(w, F.array(F.lit("the"), F.lit("team")))).cast("long").alias("n"))
+
+
+@query("mail_by_day", """
+    select user_name, strftime(loaded_at::timestamp, '%Y-%m-%d') as day, count(*) as mails, sum(count(*)) over (partition by user_name order by strftime(loaded_at::timestamp, '%Y-%m-%d'))::bigint as so_far from mail_meta where user_name is not null group by 1, 2""")
+def mail_by_day(s: SparkSession, d: str) -> DataFrame:
+    """Mails per user and day with the running total; the window runs over days, not mails."""
+    from pyspark.sql import Window as W
+
+    per = table(s, d, "mail_meta").where("user_name is not null").groupBy("user_name", F.date_format("loaded_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("mails"))
+    return per.withColumn("so_far", F.sum("mails").over(W.partitionBy("user_name").orderBy("day")).cast("long"))
