@@ -53,7 +53,8 @@ def once_each(df: DataFrame, column: str, f: Callable[[str], str | None] | None,
 def language(column: str):
     """The language whose telltale words a text has most of, '' without any; a stand-in for a detector."""
     words = F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}]+")
-    hits = [F.struct(F.size(F.filter(words, lambda w, t=t: w.isin(t))).alias("n"), F.lit(code).alias("code")) for code, t in TELLTALES.items()]
+    count = lambda telltales: F.size(F.filter(words, lambda w: w.isin(telltales)))
+    hits = [F.struct(count(t).alias("n"), F.lit(code).alias("code")) for code, t in TELLTALES.items()]
     best = F.array_max(F.array(*hits))
     return F.when(best["n"] > 0, best["code"]).otherwise("")
 
