@@ -458,7 +458,7 @@ def _parts(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 marked = not_new(text)
                 lines.append(marked)
                 bare = (bare_subject(subject)[1] or "").lower()
-                threads.append(f"{user}\x1f{bare}" if bare and user and text else None)
+                threads.append(xxhash.xxh3_64_intdigest(f"{user}\x1f{bare}") - (1 << 63) if bare and user and text else None)
                 sums.append(xxhash.xxh3_64_intdigest(text) - (1 << 63) if text else None)
                 mine = set(marked)
                 last, rest = None, []
@@ -483,10 +483,10 @@ def _parts(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 last_lines.append(last[1] if last else [])
                 others.append(list(set(rest)))
             data = [batch.column("rec_key"), lines, threads, sums, last_hash, last_lines, others]
-            types = [pa.string(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            types = [pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([d if k == 0 else pa.array(d, t) for k, (d, t) in enumerate(zip(data, types, strict=True))], names=["rec_key", "lines", "thread", "text_sum", "last_hash", "last_lines", "others"])
 
-    schema = "rec_key string, lines array<int>, thread string, text_sum bigint, last_hash bigint, last_lines array<int>, others array<bigint>"
+    schema = "rec_key string, lines array<int>, thread bigint, text_sum bigint, last_hash bigint, last_lines array<int>, others array<bigint>"
     path = shared_path(spark, "email-parts")
     docs.select("rec_key", "text", "subject", "user_name").mapInArrow(run, schema).write.parquet(path)
     return spark.read.parquet(path)
@@ -503,9 +503,12 @@ def _inherited(parts: DataFrame, docs: DataFrame) -> DataFrame:
             got = [anchors(words_of(t or "")[0]) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rec_key"), batch.column("thread"), batch.column("text_sum"), pa.array(got, pa.list_(pa.int64()))], names=["rec_key", "thread", "text_sum", "anchors"])
 
-    runs = texts.mapInArrow(run, "rec_key string, thread string, text_sum bigint, anchors array<bigint>").select("rec_key", "thread", "text_sum", F.explode("anchors").alias("anchor"))
-    first = runs.groupBy("thread", "anchor").agg(F.min(F.struct("text_sum", "rec_key")).alias("first"), F.max("text_sum").alias("most")).where("first.text_sum != most")
-    pairs = runs.join(first, ["thread", "anchor"]).where("text_sum != first.text_sum").select("rec_key", F.col("first.rec_key").alias("source")).distinct()
+    runs = texts.mapInArrow(run, "rec_key string, thread bigint, text_sum bigint, anchors array<bigint>").select("rec_key", F.explode("anchors").alias("anchor"), "thread", "text_sum")
+    path = shared_path(parts.sparkSession, "email-anchors")
+    runs.select("rec_key", "text_sum", F.xxhash64("thread", "anchor").alias("anchor")).write.parquet(path)  # read twice below
+    runs = parts.sparkSession.read.parquet(path)
+    first = runs.groupBy("anchor").agg(F.min(F.struct("text_sum", "rec_key")).alias("first"), F.max("text_sum").alias("most")).where("first.text_sum != most")
+    pairs = runs.join(first, "anchor").where("text_sum != first.text_sum").select("rec_key", F.col("first.rec_key").alias("source")).distinct()
     whole = docs.select("rec_key", "text")
     joined = pairs.join(whole, "rec_key").join(whole.select(F.col("rec_key").alias("source"), F.col("text").alias("earlier")), "source")
 
