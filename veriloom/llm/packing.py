@@ -81,14 +81,15 @@ def pack(spark: SparkSession, sizes: DataFrame, key: str, size: str, runs: DataF
     base = sizes.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("total"))
     if each is None:
         return base.join(spark.createDataFrame([], empty), F.lit(False), "inner").select("run_name", F.col("key").alias(key), F.lit(0).cast("long").alias("piece_no"), F.lit(0).cast("long").alias("piece_tokens"), F.lit(0).cast("long").alias("container"))
-    cut = base.select("key", "total", each.alias("r")).select("key", "total", "r.run_name", "r.capacity")
+    path = shared_path(spark, "packing")
+    base.write.parquet(f"{path}/sizes")  # measured once, read for each kind of piece
+    cut = spark.read.parquet(f"{path}/sizes").select("key", "total", each.alias("r")).select("key", "total", "r.run_name", "r.capacity")
     whole, rest = F.expr("total div capacity"), F.expr("total % capacity")
     full: Column = F.explode(F.sequence(F.lit(1).cast("long"), whole))
     pieces_full = cut.where("total >= capacity").select("run_name", "key", full.alias("piece_no"), F.col("capacity").alias("piece_tokens"))
     pieces_full = pieces_full.withColumn("container", -F.abs(F.xxhash64("run_name", F.col("key").cast("string"), "piece_no")) - 1)
     nothing = cut.where("total = 0").select("run_name", "key", F.lit(0).cast("long").alias("piece_no"), F.lit(0).cast("long").alias("piece_tokens"), F.lit(0).cast("long").alias("container"))
     small = cut.where("total % capacity > 0").select("run_name", "capacity", "key", F.when(F.col("total") > F.col("capacity"), whole + 1).otherwise(F.lit(0)).alias("piece_no"), rest.alias("size"))
-    path = shared_path(spark, "packing")
     small.withColumn("item", F.xxhash64(F.col("key").cast("string"), "piece_no")).write.parquet(f"{path}/items")
     items = spark.read.parquet(f"{path}/items")
     most = items.groupBy("run_name").count().agg(F.max("count")).first()[0] or 0
