@@ -284,7 +284,7 @@ _SOUND: dict[str, bool] = {}
 def _is_sound(word: str) -> bool:
     if len(_SOUND) > 300_000:
         _SOUND.clear()
-    sound = "�" not in word and not _DOUBLE_BYTE.search(word) and next(automaton().iter(word), None) is None and all(_verdict(w) is None for w in _SUSPECT_WORD.findall(word))
+    sound = "�" not in word and not _DOUBLE_BYTE.search(word) and next(automaton().iter(word), None) is None and all((v := _verdict(w)) is None or (v == "odd" and not _looks_wrong(w)) for w in _SUSPECT_WORD.findall(word))
     if len(word) <= 60:
         _SOUND[word] = sound
     return sound

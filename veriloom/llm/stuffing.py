@@ -74,15 +74,21 @@ def _kind(token: str) -> tuple[int, int, bool]:
     return zlib.crc32(token.encode()), 1 if joined else 0, joined
 
 
+@functools.lru_cache(maxsize=300_000)
+def _of_word(word: str) -> tuple[tuple[int, int], ...]:
+    """(hash, kind) of the words within what stands between spaces; bare numbers are left out."""
+    return tuple((h, kind) for h, kind, _ in map(_kind, _TOKEN.findall(word)) if kind != 3)
+
+
 def tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, kinds) of the words of a text."""
     if not text.isascii():
         damaged, fixed = repair(text)
         text = tidy(fixed if damaged else text)
-    got = [x for t in _TOKEN.findall(text.lower()) if (x := _kind(t))[1] != 3]
+    got = [x for word in text.lower().split() for x in _of_word(word)]
     if not got:
         return np.empty(0, np.int64), np.empty(0, np.int8)
-    h, k, _ = zip(*got, strict=True)
+    h, k = zip(*got, strict=True)
     return np.array(h, np.int64), np.array(k, np.int8)
 
 
