@@ -17,9 +17,11 @@ def value(spark):
 
 @pytest.mark.parametrize(
     ("host", "want"),
-    [("a.b.brand.co.uk", "brand.co.uk"), ("brand.com", "brand.com"), ("www.x.brand.de", "brand.de"), ("brand.unknownzone", None), ("com", None), ("", None), (None, None)],
+    [("a.b.brand.co.uk", "brand.co.uk"), ("brand.com", "brand.com"), ("www.x.brand.de", "brand.de"), ("brand.unknownzone", None), ("com", None), ("co.uk", "co.uk"), ("..a..com.", "a.com"), ("", None), (None, None)],
 )
-def test_registrable(value, host, want):
+def test_registrable(value, host, want, monkeypatch):
+    assert value(D.registrable(F.lit(host).cast("string"))) == want
+    monkeypatch.setattr(D, "PATTERN_SUFFIXES", 0)
     assert value(D.registrable(F.lit(host).cast("string"))) == want
 
 

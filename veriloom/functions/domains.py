@@ -6,6 +6,7 @@ generation: no Python function runs per row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,9 @@ WEBMAIL = ["gmail.com", "googlemail.com", "yahoo.com", "outlook.com", "hotmail.c
 FILE_ENDINGS = ["png", "jpg", "jpeg", "gif", "svg", "webp", "css", "js", "ico", "pdf", "zip", "mp4", "woff", "woff2", "json", "xml"]
 HINTS = ["contact", "about", "imprint", "impressum", "support", "help", "press", "team", "email", "kontakt"]
 
+#: Most suffixes that are tested as one pattern; a longer list is tested label by label.
+PATTERN_SUFFIXES = 500
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 URL = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>()\[\]\"']*)?"
 
@@ -105,11 +109,18 @@ def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
 
 def registrable(host: Column, suffixes: Sequence[str] = SUFFIXES, fallback: str = "null") -> Column:
     """Label and suffix of a host. Without a known suffix, or label before it: null, '' or the host, as ``fallback`` says."""
-    known = _list(list(suffixes))
-    parts = labels(host)
-    n = F.size(parts)
-    at = F.array_min(F.filter(F.when(n >= 2, F.sequence(F.lit(2), F.greatest(n, F.lit(2)))), lambda i: F.array_contains(known, F.array_join(F.slice(parts, i, n - i + 1), "."))))
-    found = F.array_join(F.slice(parts, at - 1, n - at + 2), ".")
+    if len(suffixes) <= PATTERN_SUFFIXES:
+        # The leftmost label after which only a suffix follows: the one before the longest suffix.
+        clean = F.regexp_replace(F.regexp_replace(normalize_domain(host), r"\.{2,}", "."), r"^\.", "")
+        pattern = r"(?:^|\.)([^.]+\.(?:" + "|".join(re.escape(x) for x in sorted(suffixes, key=len, reverse=True)) + "))$"
+        got = F.regexp_extract(clean, pattern, 1)
+        found = F.when(got != "", got)
+    else:
+        known = _list(list(suffixes))
+        parts = labels(host)
+        n = F.size(parts)
+        at = F.array_min(F.filter(F.when(n >= 2, F.sequence(F.lit(2), F.greatest(n, F.lit(2)))), lambda i: F.array_contains(known, F.array_join(F.slice(parts, i, n - i + 1), "."))))
+        found = F.array_join(F.slice(parts, at - 1, n - at + 2), ".")
     other = {"null": F.lit(None).cast("string"), "empty": F.lit(""), "host": normalize_domain(host)}[fallback]
     return F.when(host.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(found, other))
 

@@ -57,7 +57,8 @@ def reg_domains(s: SparkSession, d: str) -> DataFrame:
     from (select *, case when contains(sender, '@') then lower(regexp_extract(trim(sender), '([^@]*)$', 1)) else lower(trim(sender)) end as h from decision where sender is not null) group by 1""")
 def sender_keys(s: SparkSession, d: str) -> DataFrame:
     key = D.sender_key(F.col("sender"), D.RESERVED, ["letterbox.example", "postkorb.example"])
-    return table(s, d, "decision").where("sender is not null").groupBy(key.alias("sender_key")).agg(F.count(F.lit(1)).alias("n"))
+    senders = table(s, d, "decision").where("sender is not null").groupBy("sender").agg(F.count(F.lit(1)).alias("n"))  # each sender's key once
+    return senders.groupBy(key.alias("sender_key")).agg(F.sum("n").alias("n"))
 
 
 @query("kb_domain_list", f"""
