@@ -66,7 +66,7 @@ def claimed_brands(s: SparkSession, d: str) -> DataFrame:
 
 def recognised(s: SparkSession, d: str) -> DataFrame:
     """Identities, requests and roles of every document by the default recogniser."""
-    names = [r[0] for r in table(s, d, "kb").select("brand").collect()]
+    names = [r[0] for r in table(s, d, "kb").select("brand").limit(200_001).collect()]
     return recognise(table(s, d, "documents").select("doc_id", "text"), F.col("text"), names).select("doc_id", "identities", F.size("actions").alias("n_actions"), "relations", "cta_urls")
 
 
