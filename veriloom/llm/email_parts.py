@@ -500,15 +500,17 @@ def _inherited(parts: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [anchors(words_of(t or "")[0]) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rec_key"), batch.column("thread"), batch.column("text_sum"), pa.array(got, pa.list_(pa.int64()))], names=["rec_key", "thread", "text_sum", "anchors"])
+            words = [words_of(t or "")[0] for t in batch.column("text").to_pylist()]
+            sizes, got = pa.array([len(w) for w in words], pa.int32()), pa.array([anchors(w) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("rec_key"), batch.column("thread"), batch.column("text_sum"), sizes, got], names=["rec_key", "thread", "text_sum", "words", "anchors"])
 
-    runs = texts.mapInArrow(run, "rec_key string, thread bigint, text_sum bigint, anchors array<bigint>").select("rec_key", F.explode("anchors").alias("anchor"), "thread", "text_sum")
+    runs = texts.mapInArrow(run, "rec_key string, thread bigint, text_sum bigint, words int, anchors array<bigint>").select("rec_key", F.explode("anchors").alias("anchor"), "thread", "text_sum", "words")
     path = shared_path(parts.sparkSession, "email-anchors")
-    runs.select("rec_key", "text_sum", F.xxhash64("thread", "anchor").alias("anchor")).write.parquet(path)  # read twice below
+    runs.select("rec_key", "text_sum", "words", F.xxhash64("thread", "anchor").alias("anchor")).write.parquet(path)  # read twice below
     runs = parts.sparkSession.read.parquet(path)
-    first = runs.groupBy("anchor").agg(F.min(F.struct("text_sum", "rec_key")).alias("first"), F.max("text_sum").alias("most")).where("first.text_sum != most")
-    pairs = runs.join(first, "anchor").where("text_sum != first.text_sum").select("rec_key", F.col("first.rec_key").alias("source")).distinct()
+    # Mails carry no time that can be relied on: what is inherited is the shorter, as a reply holds it and more.
+    first = runs.groupBy("anchor").agg(F.min(F.struct("words", "text_sum", "rec_key")).alias("first"), F.min("text_sum").alias("least"), F.max("text_sum").alias("most")).where("least != most")
+    pairs = runs.join(first, "anchor").where("text_sum != first.text_sum and words > first.words").select("rec_key", F.col("first.rec_key").alias("source")).distinct()
     whole = docs.select("rec_key", "text")
     joined = pairs.join(whole, "rec_key").join(whole.select(F.col("rec_key").alias("source"), F.col("text").alias("earlier")), "source")
 
