@@ -111,6 +111,13 @@ def test_kinds(model, text, want):
     assert {(n.kind, n.piece) for n in pieces(text, model)} == want
 
 
+@pytest.mark.parametrize("word", ["rue", "Rue", "RUE", "rUE", "Chemin", "PLACE", "Impasse", "Allée", "ALLÉE", "Quai", "Route", "Square", "Cours", "Passage", "Sentier", "Villa", "Bd", "Avenue", "BOULEVARD"])
+@pytest.mark.parametrize("number", ["12", "12,", "12 bis", "12 Ter,"])
+def test_french_streets_in_any_case(model, word, number):
+    address = f"{number} {word} Lafayette, 75009 Paris"
+    assert [(n.kind, n.piece) for n in pieces(f"{address}.", model)] == [("address", address)]
+
+
 def test_redaction(model):
     assert redact("Call Mark Rasorren on 020 7946 0183.", model) == "Call [PERSON] on [PHONE]."
     assert redact(None, model) is None
