@@ -3,7 +3,7 @@ import random
 import pytest
 
 from veriloom.llm.email_parts import SuffixAutomaton, anchors, bare_subject, inherited_lines, not_new, p5_found
-from veriloom.llm.pii import fit, p6_found, pieces, redact
+from veriloom.llm.pii import fit, fit_on, names_shown, p6_found, pieces, redact
 from veriloom.llm.stuffing import count_words, p9_found, score
 
 MAIL = """Hi Ruth,
@@ -130,6 +130,19 @@ def test_p6(spark, docs, document, schemas):
     assert {r for r in rows if r[0] != "documents"} == {("req2_llm_classified", "f", "person", "Ruth Rasotal"), ("req2_llm_classified", "f", "email", "r@b.example")}
 
 
+def test_lexicon_is_of_all_texts(spark):
+    shown = ["From: Zora Quist <z@b.example>\n\nThe plan is ready.", "x " * 3000 + "\nFrom: Zora Quist <z@b.example>\n", "From: Ylva Quist <y@b.example>"]
+    for others in (0, 300):
+        df = spark.createDataFrame([*enumerate(shown), *((k + 3, f"The plan {k} is ready.") for k in range(others)), (-1, None)], "k int, text string")
+        given = fit_on(df, "text", "k", most=5).given
+        assert "Zora" in given and "Ylva" not in given
+
+
+def test_names_shown():
+    assert names_shown("\n\n > From: Zora Quist <z@b.example>\n| Ylva Quist wrote on 1 May\n\nHi Xenia,\n") == {"Zora", "Ylva", "Xenia"}
+    assert names_shown("\n> " * 200_000 + "De : x") == set()
+
+
 SPAM = "best cheap watches garage doors sale cheap watches top garage doors hot cheap watches garage doors. " * 4
 HONEST = "The plan for the week is ready, and we will look at it when you are back from the trip to the coast. "
 
