@@ -81,6 +81,18 @@ def test_p5(spark, docs, document, schemas):
     assert got == [("documents", "2", 3), ("documents", "5", 2), ("req2_llm_classified", "f", 0)]
 
 
+def test_p5_sources(spark, docs, document, schemas):
+    w = [f"word{k}" for k in range(200)]
+    run = lambda a, b: " ".join(w[a:b])
+    rows = [
+        document(1, run(0, 150), "plan"), document(2, "I agree\n\n" + run(20, 70) + "\n\nthat was all of it", "Re: plan"),  # a short reply to a long mail
+        document(3, run(115, 140) + " and nothing else", "trip"), document(4, "my " * 30 + "\n" + run(80, 150) + "\nend", "trip"), document(5, "so\n" + run(100, 145) + "\n" + "well " * 90, "trip"),
+        *(document(10 + k, f"short {k} " + run(100 + k, 126 + k), "walk") for k in range(0, 20)), document(40, run(100, 145), "walk"), document(41, "mine\n" + run(100, 145) + "\nand more of mine", "walk"),
+    ]
+    got = {tuple(r) for r in p5_found(spark, docs(documents=(rows, schemas[0]), req2_llm_classified=([], schemas[1]))).collect()}
+    assert got == {("documents", "2", 3), ("documents", "5", 2), ("documents", "41", 2)}
+
+
 @pytest.fixture(scope="module")
 def model():
     return fit([MAIL] * 5)

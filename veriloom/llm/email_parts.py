@@ -405,11 +405,8 @@ def words_of(text: str) -> tuple[list[str], list[int]]:
     return words, at
 
 
-def anchors(words: list[str], size: int = INHERITED_WORDS // 2) -> list[int]:
-    """Hashes of sampled runs of words: of every ``size`` neighbouring runs the least is kept, so that two texts with
-    2·size − 1 words in common share one at least."""
-    if len(words) < size:
-        return []
+def run_hashes(words: list[str], size: int) -> list[int]:
+    """A hash of every run of ``size`` words, in order."""
     step = [xxhash.xxh3_64_intdigest(w) for w in words]
     mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
     top = pow(base, size, 1 << 64)
@@ -420,6 +417,19 @@ def anchors(words: list[str], size: int = INHERITED_WORDS // 2) -> list[int]:
             h = (h - step[k - size] * top) & mask
         if k >= size - 1:
             runs.append(((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & mask)
+    return runs
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def anchors(words: list[str], size: int = INHERITED_WORDS // 2) -> list[int]:
+    """Hashes of sampled runs of words: of every ``size`` neighbouring runs the least is kept, so that two texts with
+    2·size − 1 words in common share one at least."""
+    if len(words) < size:
+        return []
+    runs = run_hashes(words, size)
     kept, best = set(), -1
     for k in range(len(runs) - size + 1):
         if best < k or runs[k + size - 1] <= runs[best]:
@@ -427,7 +437,18 @@ def anchors(words: list[str], size: int = INHERITED_WORDS // 2) -> list[int]:
         kept.add(runs[best])
     if len(runs) < size:
         kept.add(min(runs))
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in kept]
+    return [_signed(x) for x in kept]
+
+
+def stretches(words: list[str], shared: set[int], least: int = INHERITED_WORDS) -> list[int]:
+    """Hashes of the runs of ``least`` words that hold one of the shared anchors."""
+    size = least // 2
+    whole = run_hashes(words, least)
+    near: set[int] = set()
+    for k, x in enumerate(run_hashes(words, size)):
+        if _signed(x) in shared:
+            near.update(range(max(0, k + size - least), min(k + 1, len(whole))))
+    return list({_signed(whole[k]) for k in near})
 
 
 def inherited_lines(text: str, earlier: list[str], least: int = INHERITED_WORDS) -> list[int]:
@@ -437,7 +458,7 @@ def inherited_lines(text: str, earlier: list[str], least: int = INHERITED_WORDS)
         a.add(words_of(e)[0])
     words, at = words_of(text)
     hit = a.inherited(words, least)
-    if all(hit):
+    if all(hit) and len(earlier) == 1:
         return []  # a copy, not a reply
     total: dict[int, list[int]] = {}
     for k, h in zip(at, hit, strict=True):
@@ -453,11 +474,13 @@ def _parts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, subjects, users = (batch.column(c).to_pylist() for c in ("rec_key", "text", "subject", "user_name"))
-            lines, threads, sums, last_hash, last_lines, others = [], [], [], [], [], []
+            lines, threads, replies, sums, last_hash, last_lines, others = [], [], [], [], [], [], []
             for text, subject, user in zip(texts, subjects, users, strict=True):
                 marked = not_new(text)
                 lines.append(marked)
-                bare = (bare_subject(subject)[1] or "").lower()
+                reply, bare = bare_subject(subject)
+                bare = (bare or "").lower()
+                replies.append(reply)
                 threads.append(xxhash.xxh3_64_intdigest(f"{user}\x1f{bare}") - (1 << 63) if bare and user and text else None)
                 sums.append(xxhash.xxh3_64_intdigest(text) - (1 << 63) if text else None)
                 mine = set(marked)
@@ -482,11 +505,11 @@ def _parts(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 last_hash.append(last[0] if last else None)
                 last_lines.append(last[1] if last else [])
                 others.append(list(set(rest)))
-            data = [batch.column("rec_key"), lines, threads, sums, last_hash, last_lines, others]
-            types = [pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([d if k == 0 else pa.array(d, t) for k, (d, t) in enumerate(zip(data, types, strict=True))], names=["rec_key", "lines", "thread", "text_sum", "last_hash", "last_lines", "others"])
+            data = [batch.column("rec_key"), lines, threads, replies, sums, last_hash, last_lines, others]
+            types = [pa.string(), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([d if k == 0 else pa.array(d, t) for k, (d, t) in enumerate(zip(data, types, strict=True))], names=["rec_key", "lines", "thread", "reply", "text_sum", "last_hash", "last_lines", "others"])
 
-    schema = "rec_key string, lines array<int>, thread bigint, text_sum bigint, last_hash bigint, last_lines array<int>, others array<bigint>"
+    schema = "rec_key string, lines array<int>, thread bigint, reply boolean, text_sum bigint, last_hash bigint, last_lines array<int>, others array<bigint>"
     path = shared_path(spark, "email-parts")
     docs.select("rec_key", "text", "subject", "user_name").mapInArrow(run, schema).write.parquet(path)
     return spark.read.parquet(path)
@@ -495,7 +518,7 @@ def _parts(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _inherited(parts: DataFrame, docs: DataFrame) -> DataFrame:
     """(rec_key, line_no) of lines inherited from earlier messages of the thread."""
     many = parts.where("thread is not null").groupBy("thread").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("thread")
-    members = parts.select("rec_key", "thread", "text_sum").join(many, "thread", "left_semi")
+    members = parts.select("rec_key", "thread", "reply", "text_sum").join(many, "thread", "left_semi")
     texts = members.join(docs.select("rec_key", "text"), "rec_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,19 +529,37 @@ def _inherited(parts: DataFrame, docs: DataFrame) -> DataFrame:
 
     runs = texts.mapInArrow(run, "rec_key string, thread bigint, text_sum bigint, words int, anchors array<bigint>").select("rec_key", F.explode("anchors").alias("anchor"), "thread", "text_sum", "words")
     path = shared_path(parts.sparkSession, "email-anchors")
-    runs.select("rec_key", "text_sum", "words", F.xxhash64("thread", "anchor").alias("anchor")).write.parquet(path)  # read twice below
+    runs.select("rec_key", "thread", "text_sum", "words", F.col("anchor").alias("plain"), F.xxhash64("thread", "anchor").alias("anchor")).write.parquet(path)  # read twice below
     runs = parts.sparkSession.read.parquet(path)
-    # Mails carry no time that can be relied on: what is inherited is the shorter, as a reply holds it and more.
-    first = runs.groupBy("anchor").agg(F.min(F.struct("words", "text_sum", "rec_key")).alias("first"), F.min("text_sum").alias("least"), F.max("text_sum").alias("most")).where("least != most")
-    pairs = runs.join(first, "anchor").where("text_sum != first.text_sum and words > first.words").select("rec_key", F.col("first.rec_key").alias("source")).distinct()
+    shared = runs.groupBy("anchor").agg(F.min("text_sum").alias("least"), F.max("text_sum").alias("most")).where("least != most").select("anchor")
+    # The anchors are hashed with their thread: only what two different texts of a thread share is looked at closer.
+    near = runs.join(shared, "anchor").groupBy("rec_key").agg(F.collect_set("plain").alias("anchors"), F.first("thread").alias("thread"), F.first("text_sum").alias("text_sum"), F.first("words").alias("words"))
     whole = docs.select("rec_key", "text")
-    joined = pairs.join(whole, "rec_key").join(whole.select(F.col("rec_key").alias("source"), F.col("text").alias("earlier")), "source")
+
+    def long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [stretches(words_of(t)[0], set(a)) for t, a in zip(batch.column("text").to_pylist(), batch.column("anchors").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("rec_key", "thread", "text_sum", "words")], pa.array(got, pa.list_(pa.int64()))], names=["rec_key", "thread", "text_sum", "words", "runs"])
+
+    # Mails carry no time that can be relied on. A text that was sent without a reply's subject is earlier than one that never
+    # was; among the like the shorter is, as a reply holds it and more. Every run of INHERITED_WORDS words names its first mail,
+    # so the sources of a mail hold all that it shares with any earlier mail of the thread, without a comparison of all pairs.
+    ranks = members.groupBy("thread", "text_sum").agg(F.min("reply").cast("int").alias("reply"))
+    grams = near.join(whole, "rec_key").mapInArrow(long_runs, "rec_key string, thread bigint, text_sum bigint, words int, runs array<bigint>").join(ranks, ["thread", "text_sum"])
+    grams = grams.select("rec_key", F.struct("reply", "words").alias("rank"), "text_sum", F.explode("runs").alias("run"), "thread").select("rec_key", "rank", "text_sum", F.xxhash64("thread", "run").alias("run"))
+    path = shared_path(parts.sparkSession, "email-runs")
+    grams.write.parquet(path)  # read twice below
+    grams = parts.sparkSession.read.parquet(path)
+    first = grams.groupBy("run").agg(F.min(F.struct("rank", "text_sum", "rec_key")).alias("first"))
+    pairs = grams.join(first, "run").where("rank > first.rank").select("rec_key", F.col("first.rec_key").alias("source")).distinct()
+    sources = pairs.join(whole.select(F.col("rec_key").alias("source"), "text"), "source").groupBy("rec_key").agg(F.collect_list("text").alias("earlier"))
+    joined = sources.join(whole, "rec_key")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, numbers = [], []
             for key, text, earlier in zip(*(batch.column(c).to_pylist() for c in ("rec_key", "text", "earlier")), strict=True):
-                for k in inherited_lines(text, [earlier]):
+                for k in inherited_lines(text, earlier):
                     keys.append(key)
                     numbers.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int32())], names=["rec_key", "line_no"])
