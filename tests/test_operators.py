@@ -77,6 +77,16 @@ def test_evaluation(spark):
     assert {r.id: r.url for r in E.best_per(links, "id", "s", "pos", ["url"]).collect()} == {"m": "u2", "n": "u4"}
 
 
+@pytest.mark.parametrize("size", [M.BLOCK, 16])
+def test_threshold_counts_all_neighbours(spark, tmp_path, monkeypatch, size):
+    from veriloom.plans.mail_queries import nn_threshold
+
+    monkeypatch.setattr(M, "BLOCK", size)
+    rows = [(k, [1.0, 0.0] if k <= 60 else [0.0, -1.0 if k == 150 else 0.5]) for k in range(151)] + [(200, None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {tuple(r) for r in nn_threshold(spark, str(tmp_path)).collect()} == {(0, 60), (50, 60)}
+
+
 def test_nearest_broadcast_equals_blocks(spark, monkeypatch):
     import numpy as np
 

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Dimensions of the default embedding; thresholds for brands, roles and for names of up to three characters.
 DIMENSIONS, BRAND, ROLE, SHORT = 256, 0.95, 0.90, 0.99
@@ -85,12 +85,7 @@ def nearest(queries: DataFrame, query_id: str, query_vec: str, base: DataFrame,
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(flat, columns=["_q", "_b", "score", "rank"]).astype({"rank": "int32"}), preserve_index=False)
 
         return renamed.mapInArrow(run, out_schema).toDF(*names, "score", "rank")
-    # Neither side is ever whole in one task: blocks of the base meet parts of the queries.
-    blocks, parts = -(-int(count) // BLOCK), max(1, -(-renamed.count() // BLOCK))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spread = base.where(F.col(base_vec).isNotNull()).select(F.col(base_id).alias("_b"), F.col(base_vec).alias("_w"))
-    spread = spread.withColumn("_block", F.pmod(F.xxhash64("_b"), F.lit(blocks)).cast("int")).withColumn("_part", numbers(parts))
-    asked = renamed.withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(parts)).cast("int")).withColumn("_block", numbers(blocks))
+    asked, spread = _in_blocks(renamed, base.where(F.col(base_vec).isNotNull()).select(F.col(base_id).alias("_b"), F.col(base_vec).alias("_w")), int(count))
 
     def block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -106,6 +101,36 @@ def nearest(queries: DataFrame, query_id: str, query_vec: str, base: DataFrame,
     return merged.select("_q", F.col("x.b").alias("_b"), (-F.col("x.s")).alias("score"), (F.col("r") + 1).cast("int").alias("rank")).toDF(*names, "score", "rank")
 
 
+def _in_blocks(asked: DataFrame, base: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Queries (_q, _v) and base (_b, _w) of count rows with _block and _part: neither side is ever whole in one task, blocks
+    of the base meet parts of the queries."""
+    blocks, parts = max(1, -(-count // BLOCK)), max(1, -(-asked.count() // BLOCK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    spread = base.withColumn("_block", F.pmod(F.xxhash64("_b"), F.lit(blocks)).cast("int")).withColumn("_part", numbers(parts))
+    return asked.withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(parts)).cast("int")).withColumn("_block", numbers(blocks)), spread
+
+
+def count_near(queries: DataFrame, query_id: str, query_vec: str, base: DataFrame, base_id: str, base_vec: str, threshold: float, exclude_self: bool = False) -> DataFrame:
+    """(query_id, near): how many base vectors have an inner product of the threshold at least, for every query that has any.
+
+    All of them count, block by block; no list of the nearest stands between.
+    """
+    rows = base.where(F.col(base_vec).isNotNull()).select(F.col(base_id).alias("_b"), F.col(base_vec).alias("_w"))
+    asked, spread = _in_blocks(queries.select(F.col(query_id).alias("_q"), F.col(query_vec).alias("_v")).where("_v is not null"), rows, rows.count())
+
+    def block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["_q", "near"])
+        hit = np.array(left["_v"].tolist(), np.float64) @ np.array(right["_w"].tolist(), np.float64).T >= threshold
+        if exclude_self:
+            hit &= left["_q"].to_numpy()[:, None] != right["_b"].to_numpy()[None, :]
+        return pd.DataFrame({"_q": left["_q"], "near": hit.sum(axis=1)})
+
+    schema = StructType([StructField("_q", queries.schema[query_id].dataType), StructField("near", LongType())])
+    found = asked.groupBy("_block", "_part").cogroup(spread.groupBy("_block", "_part")).applyInPandas(block, schema)
+    return found.groupBy("_q").agg(F.sum("near").alias("near")).where("near > 0").toDF(query_id, "near")
+
+
 def match_names(names: DataFrame, name: str, kb: DataFrame, tag: str, threshold: float = BRAND, embedder: Callable[[Column], Column] = embed) -> DataFrame:
     """(name, tag, score) of each distinct name whose nearest entry is near enough; names of up to 3 characters need more."""
     asked = names.select(F.col(name).alias("name")).where("name is not null and name != ''").distinct().withColumn("vec", embedder(F.lower("name")))

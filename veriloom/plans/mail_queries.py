@@ -390,7 +390,10 @@ def nn_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query("nn_threshold", f"select a as vec_id, count(*) as near from (select a, b, row_number() over (partition by a order by ip desc) as r, ip from ({_PAIR_SQL})) where r <= 20 and ip >= 0.4 group by 1")
 def nn_threshold(s: SparkSession, d: str) -> DataFrame:
-    return _neighbours(s, d, 20).where("score >= 0.4").groupBy("vec_id").agg(F.count(F.lit(1)).alias("near"))
+    """How many other vectors have an inner product of at least 0.4 with a row whose id is divisible by 50. All of them count,
+    while the SQL stops at 20: the two agree where no row has more."""
+    e = table(s, d, "embeddings")
+    return M.count_near(e.where("vec_id % 50 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", 0.4, exclude_self=True)
 
 
 def _neighbours(s: SparkSession, d: str, k: int) -> DataFrame:
