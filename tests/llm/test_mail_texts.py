@@ -4,7 +4,7 @@ import pytest
 
 from veriloom.llm.email_parts import SuffixAutomaton, anchors, bare_subject, inherited_lines, not_new, p5_found
 from veriloom.llm.pii import fit, fit_on, names_shown, p6_found, pieces, redact
-from veriloom.llm.stuffing import count_words, p9_found, score
+from veriloom.llm.stuffing import count_words, p9_found, p9_scores, score
 
 MAIL = """Hi Ruth,
 
@@ -168,3 +168,11 @@ def test_p9(spark, docs, document, schemas):
     assert score(None, counts)[0] == 0
     empty = spark.read.parquet(f"{d}/documents.parquet").where("false")
     assert count_words(empty, "text").words.sum() == 0
+
+
+def test_p9_found_is_what_p9_scores_says(spark, docs, document, schemas):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    units = " ".join("buy for the kids " + " ".join(f"{x}{y}watch" for y in letters[:5]) for x in letters[:12])
+    d = docs(documents=([document(1, units), document(2, HONEST * 3), document(3, SPAM)], schemas[0]))
+    told = {r.doc_id for r in p9_scores(spark, d).where("stuffed").collect()}
+    assert told == {1, 3} == {r[0] for r in p9_found(spark, d).collect()}

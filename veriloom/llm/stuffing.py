@@ -165,15 +165,12 @@ def _within_phrases(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(text: str | None, counts: Counts, details: bool = True) -> tuple[int, float, float, float, float]:
+def score(text: str | None, counts: Counts) -> tuple[int, float, float, float, float]:
     """(words, share strung, mean mutual information of neighbours, share of repeated pairs, share of links, tags and codes)."""
     h, kind = tokens(text or "")
     n = len(h)
     if n < 2:
         return n, 0.0, 0.0, 0.0, 0.0
-    plain = float((kind == 1).mean())
-    if plain >= 0.2 and not details and len(set(h.tolist())) >= 0.5 * n:
-        return n, 0.0, 0.0, 0.0, 0.0  # grammar throughout and hardly a word twice: whatever the rest is, it's no such page
     glue = ((kind == 1) & ~_within_phrases(h)).astype(float)
     size = min(WINDOW, n)
     ones = np.ones(size)
@@ -204,7 +201,7 @@ def stuffed(spark: SparkSession, docs: DataFrame, key: str, text: str, details:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            rows = [score(t, counts, details) for t in batch.column(text).to_pylist()]
+            rows = [score(t, counts) for t in batch.column(text).to_pylist()]
             verdict = pa.array([is_stuffed(*r) for r in rows], pa.bool_())
             if not details:
                 yield batch.select([key]).filter(verdict)
