@@ -4,7 +4,6 @@ import pytest
 
 from veriloom.llm.email_parts import SuffixAutomaton, anchors, bare_subject, inherited_lines, not_new, p5_found
 from veriloom.llm.pii import fit, fit_on, names_shown, p6_found, pieces, redact
-from veriloom.llm.stuffing import count_words, p9_found, p9_scores, score
 
 MAIL = """Hi Ruth,
 
@@ -153,26 +152,3 @@ def test_lexicon_is_of_all_texts(spark):
 def test_names_shown():
     assert names_shown("\n\n > From: Zora Quist <z@b.example>\n| Ylva Quist wrote on 1 May\n\nHi Xenia,\n") == {"Zora", "Ylva", "Xenia"}
     assert names_shown("\n> " * 200_000 + "De : x") == set()
-
-
-SPAM = "best cheap watches garage doors sale cheap watches top garage doors hot cheap watches garage doors. " * 4
-HONEST = "The plan for the week is ready, and we will look at it when you are back from the trip to the coast. "
-
-
-def test_p9(spark, docs, document, schemas):
-    rows = [document(1, SPAM), document(2, HONEST * 3), document(3, None), document(4, ""), document(5, "One real sentence is here for you. " + SPAM), document(6, "#casinobonus #slimtea #casinobonus #usedtyres #slimtea #casinobonus #webhosting #slimtea #usedtyres #casinobonus"), document(7, HONEST + "\n* price list\n* staff rota"), document(8, "sac de luxe casino en ligne sac de luxe top sac de luxe casino en ligne new sac de luxe best casino en ligne sac de luxe hot sac de luxe " * 2)]
-    d = docs(documents=(rows, schemas[0]))
-    assert sorted(r[0] for r in p9_found(spark, d).collect()) == [1, 5, 6, 8]
-    counts = count_words(spark.read.parquet(f"{d}/documents.parquet"), "text")
-    assert counts.words.sum() - counts.pairs.sum() == 6
-    assert score(None, counts)[0] == 0
-    empty = spark.read.parquet(f"{d}/documents.parquet").where("false")
-    assert count_words(empty, "text").words.sum() == 0
-
-
-def test_p9_found_is_what_p9_scores_says(spark, docs, document, schemas):
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    units = " ".join("buy for the kids " + " ".join(f"{x}{y}watch" for y in letters[:5]) for x in letters[:12])
-    d = docs(documents=([document(1, units), document(2, HONEST * 3), document(3, SPAM)], schemas[0]))
-    told = {r.doc_id for r in p9_scores(spark, d).where("stuffed").collect()}
-    assert told == {1, 3} == {r[0] for r in p9_found(spark, d).collect()}
