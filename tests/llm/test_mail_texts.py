@@ -3,7 +3,7 @@ import random
 import pytest
 
 from veriloom.llm.email_parts import SuffixAutomaton, anchors, bare_subject, inherited_lines, not_new, p5_found
-from veriloom.llm.pii import fit, fit_on, names_shown, p6_found, pieces, redact
+from veriloom.llm.pii import EDGES, Lexicon, Model, Node, candidates, edges_of, fit, fit_on, infer, lexicon_of, lexicon_of_texts, names_shown, p6_found, p6_messages, p6_redacted, pieces, redact, send
 
 MAIL = """Hi Ruth,
 
@@ -92,9 +92,29 @@ def test_p5_sources(spark, docs, document, schemas):
     assert got == {("documents", "2", 3), ("documents", "5", 2), ("documents", "41", 2)}
 
 
+FIRST = "Peter Anna Dean Zora Ylva Colin Frieda Tomas Ines Olga Bruno Mark Ruth May".split()
+LAST = "Galavlow Rasorren Kroortden Talithgard Quistad Brovane Dunelin Stenholm Verimar Oldane".split()
+
+
+def made_mails(n, seed=7):
+    """Mails that name people in headers, greetings and closings, and other things in runs of capitals."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        a, b = rnd.choice(FIRST), rnd.choice(LAST)
+        c, d = rnd.choice(FIRST), rnd.choice(LAST)
+        phone = f"+1 (617) 555-01{rnd.randrange(10, 99)}"
+        out.append(
+            f"Hi {c},\n\nI spoke with {rnd.choice(FIRST)} {rnd.choice(LAST)} <x@b.example> on {rnd.randrange(1, 28)} May, and Silver {rnd.choice(['Harbor Motors', 'Lake Payments'])} is closed. "
+            f"The Site {rnd.choice(['Lead', 'Office'])} has order no. {rnd.randrange(10**7, 10**8)}. May I ask you for passport no. {rnd.randrange(10**7, 10**8)}K?\n\nBest regards,\n{a} {b}\nTel. {phone}\n\n"
+            f"From: {c} {d} <{c.lower()}@b.example>\nTo: {a} {b} <y@b.example>\n\nDear {a},\n\nsee you in 12 Mill Road, Oldtown.\n\n{c}"
+        )
+    return out
+
+
 @pytest.fixture(scope="module")
 def model():
-    return fit([MAIL] * 5)
+    return fit([MAIL] * 5 + made_mails(120))
 
 
 def test_pieces(model):
@@ -144,9 +164,65 @@ def test_p6(spark, docs, document, schemas):
 def test_lexicon_is_of_all_texts(spark):
     shown = ["From: Zora Quist <z@b.example>\n\nThe plan is ready.", "x " * 3000 + "\nFrom: Zora Quist <z@b.example>\n", "From: Ylva Quist <y@b.example>"]
     for others in (0, 300):
-        df = spark.createDataFrame([*enumerate(shown), *((k + 3, f"The plan {k} is ready.") for k in range(others)), (-1, None)], "k int, text string")
-        given = fit_on(df, "text", "k", most=5).given
-        assert "Zora" in given and "Ylva" not in given
+        df = spark.createDataFrame([*enumerate(shown), *((k + 3, f"The plan {k} is ready at Silver Motors.") for k in range(others)), (-1, None)], "k int, text string")
+        model = fit_on(df, "text", "k", most=5)
+        assert "Zora" in model.given and "Ylva" not in model.given and ("Motors" in model.words.others) == (others > 0)
+    texts = made_mails(60)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    assert lexicon_of(df, "text") == lexicon_of_texts(texts)
+
+
+def test_names_that_no_other_text_shows(model):
+    """A doubtful mention follows the sure one of the same name: only the messages make it a piece."""
+    text = "Dear Ayesha,\n\nthe plan is ready, and Ayesha will know.\n\nThanks"
+    plain = Model(Lexicon(), {"p:bias": -1.0, "p:greeting": 3.0}, dict.fromkeys(EDGES, 0.0) | {"equal": 2.5})
+    nodes = candidates(text, plain)[0]
+    assert infer([nodes], plain) == 1
+    assert [(n.piece, n.belief > 0) for n in nodes] == [("Ayesha", True)] * 2 and nodes[1].score < 0
+    assert redact("Please call Priya Quistad on 020 7946 0183.", model) == "Please call [PERSON] on [PHONE]."
+
+
+def test_a_third_of_the_names_unknown():
+    texts = made_mails(200)
+    words = lexicon_of_texts(texts)
+    full = fit(texts, words)
+    less = fit(texts, Lexicon(words.given - {"Peter", "Zora", "Olga", "Bruno", "Dean"}, words.others, words.surnames))
+    held = made_mails(60, seed=8)
+    want = [{n.piece for n in pieces(t, full) if n.kind == "person"} for t in held]
+    got = [{n.piece for n in pieces(t, less) if n.kind == "person"} for t in held]
+    assert sum(len(w & g) for w, g in zip(want, got, strict=True)) >= 0.9 * sum(map(len, want))
+    assert all(v >= 0 for v in full.edges.values()) and full.edges["equal"] > 0
+
+
+def test_messages_against_brute_force():
+    import itertools
+    import math
+
+    import numpy as np
+
+    score, edges, strength = np.array([0.4, -0.3, 1.1, -0.8]), np.array([[0, 1], [1, 2], [1, 3]]), np.array([0.9, 0.5, 1.3])
+    total = np.zeros((4, 2))
+    for labels in itertools.product((0, 1), repeat=4):
+        weight = math.exp(sum(s for s, y in zip(score, labels) if y) + sum(j * (labels[a] == labels[b]) for (a, b), j in zip(edges, strength)))
+        for k, y in enumerate(labels):
+            total[k, y] += weight
+    assert np.allclose(send(score, edges, strength, rounds=200), np.log(total[:, 1] / total[:, 0]), atol=0.02)
+
+
+def test_edges():
+    node = lambda kind, line, key, surname="": Node(kind, line, 0, 1, key, [], surname=surname)
+    nodes = [node("person", 0, "p:clara", "rasor"), node("phone", 0, "t:1"), node("person", 1, "p:clarra"), node("person", 2, "p:peter", "rasor"), node("person", 3, "p:clara"), node("person", 4, "p:markus")]
+    assert sorted(edges_of(nodes)) == [(0, 1, 1), (0, 2, 3), (0, 3, 3), (0, 4, 2), (2, 4, 3)]
+    assert infer([], Model()) == 0 and list(Model().edges) == list(EDGES)
+
+
+def test_p6_outputs(spark, docs, document, schemas):
+    d = docs(documents=([document(k, t) for k, t in enumerate(made_mails(60), 1)] + [document(99, None)], schemas[0]), req2_llm_classified=([("f", "Ruth Rasorren", None, None, None, None, 0), ("g", None, None, None, None, None, 0)], schemas[1]))
+    rows = {(r.src_table, r.rec_key): r.redacted for r in p6_redacted(spark, d).collect()}
+    assert rows["req2_llm_classified", "f"] == "[PERSON]" and rows["req2_llm_classified", "g"] is None and rows["documents", "99"] is None
+    assert "[PERSON]" in rows["documents", "1"] and len(rows) == 63
+    told = {r.kind: r for r in p6_messages(spark, d).collect()}
+    assert told["person"].nodes >= told["person"].pieces > 0 and told["phone"].pieces == 60
 
 
 def test_names_shown():
