@@ -2,14 +2,15 @@ import random
 
 import pytest
 
-from veriloom.llm.canonical_list import Matcher, Trie, distance, p4_found, p4_report, reference_entries
+from veriloom.llm import canonical_list
+from veriloom.llm.canonical_list import Matcher, Trie, distance, learn_phrases, map_to_list, p4_found, p4_report, reference_entries
 
 KB = [("Perithholm Health", ["perithholmhealth.example"]), ("Perithholm Pharma", ["perithholmpharma.example"]), ("Oliswick Travel", ["oliswicktravel.example", "oliswick-travel.test"]), ("Zelugard Media", []), ("Brovuden Media", []), ("Galevik Media", []), ("Oravik Travel", []), ("Dunavik Travel", []), ("Société Verawick", None), ("Société Kroadnes", None), ("Société Dalarholm", []), ("Yaringlin & Wilortkov", ["yaringlinandwilortkov.example"]), ("University of Stenoric", []), ("University of Thamoric", []), ("University of Noravfel", [])]
 
 
 @pytest.fixture(scope="module")
 def matcher():
-    return Matcher([(n, d or []) for n, d in KB])
+    return Matcher([(n, d or []) for n, d in KB], learned=("via quickpost",))
 
 
 def brute(a, b):
@@ -58,3 +59,36 @@ def test_query(spark, docs, schemas):
     assert sum(r.n for r in p4_report(spark, d).collect()) == 7
     with pytest.raises(ValueError):
         reference_entries(spark.read.parquet(f"{d}/kb.parquet"), "brand", "domains", 3)
+
+
+BRANDS = [(f"{a} {b}", (f"{a.lower()}{b.lower()}.example",)) for a, b in zip("Velora Kestan Mirado Tolbert Sunvik Orlane Peskow Gradom Hulvane Ristel Bovane Cadmire".split(), "Bank Motors Foods Travel Energy Health Media Cloud Hotels Labs Retail Post".split(), strict=True)]
+
+
+@pytest.mark.parametrize("carrier", ["quickpost", "zorvimel"])
+def test_words_beside_many_names_are_learnt(spark, carrier):
+    """What stands beside the names of many entries names nobody, whatever it is called; nothing of it is in the code."""
+    said = [f"{n} via {carrier.title()}" for n, _ in BRANDS] + [f"{n.replace(' ', '')}via{carrier}" for n, _ in BRANDS] + [f"{n} via {carrier[:-2]}{carrier[-1]}{carrier[-2]}" for n, _ in BRANDS[:4]]
+    other = ["Velora Bank Choir", "Kestan Motors Choir", "Velora Choir", "nobody at all", None, ""]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(said + other)], "k int, v string")
+    learned = learn_phrases(df, "v", tuple(BRANDS))
+    assert f"via {carrier}" in learned and "choir" not in learned
+    got = {r.value: r.match for r in map_to_list(df, ["k"], "v", tuple(BRANDS)).collect()}
+    assert [got[v] for v in said] == [n for n, _ in BRANDS] * 2 + [n for n, _ in BRANDS[:4]]
+    assert got["Velora Choir"] is None and got["nobody at all"] is None
+    assert learn_phrases(df.where("false"), "v", tuple(BRANDS)) == ()
+
+
+def test_long_values_are_read_whole():
+    m = Matcher([(n, list(d)) for n, d in BRANDS])
+    assert m.match("the " * 3000 + "Velora Bank")[1] == "Velora Bank"
+    assert m.match("Velora Bank " + "ltd " * 3000)[1] == "Velora Bank"
+    assert m.match("word " * 3000)[0] == "none"
+    assert m.phrases("x " * 3000) == set()
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(canonical_list, "MEMO", 50)
+    m = Matcher([(n, list(d)) for n, d in BRANDS])
+    for k in range(500):
+        m.match(f"somewhere{k} else{k}")
+    assert len(m.memo) <= 50 and len(m.closest) <= 51

@@ -1,19 +1,25 @@
 """Free-entered names mapped to a reference list.
 
 The reference entries and their alias paths (other word order, joined, without accents, domains, the distinctive word if
-one entry alone has it) form a trie. A value is stripped of signs and words that name nobody (legal forms, departments,
-countries, carriers), and what is left is run through the trie by a Levenshtein automaton with transpositions, kept as
-bit vectors, that returns every entry within a distance depending on the length. The nearest entry wins if it is alone.
+one entry alone has it) form a trie. A value is stripped of signs and words that name nobody, and what is left is run through
+the trie by a Levenshtein automaton with transpositions, kept as bit vectors, that returns every entry within a distance
+depending on the length. The nearest entry wins if it is alone.
+
+Words that name nobody are legal forms and common words (a short list), and those that the data show: a phrase that stands
+beside the whole names of many different entries (``LEAST_ENTRIES``, and ``ENTRY_SHARE`` of them) says nothing about which
+one is meant, be it a department, a country or the mail program. The phrases are counted over all values. Only names of two
+words or more teach them, as a word beside a name of one word may make it another organisation's name.
 
 Edge cases: null, empty and words for "nothing" give status ``empty``; a value no entry is near to ``none``; one with
-several entries equally near ``ambiguous``; an empty reference leaves every value unmatched. Values beyond the length of
-the longest alias plus its decorations cannot match and give ``none``.
+several entries equally near ``ambiguous``; an empty reference leaves every value unmatched. Values of any length are read
+whole; what is left of them after stripping cannot match beyond the length of the longest alias.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,22 +32,25 @@ from veriloom.llm.unicode_forms import canonical
 
 #: Most entries of a reference list that are sent to every executor; a longer list raises an error instead.
 MAX_REFERENCE = 200_000
-#: Longest value that is looked at word by word; names end far below.
-MAX_WORDS = 40
+#: Entries, and share of the entries of two words or more, beside which a phrase stands that names nobody. More than
+#: MOST_PHRASES such phrases are an error.
+LEAST_ENTRIES, ENTRY_SHARE, MOST_PHRASES = 5, 0.05, 100_000
+#: Values and words that a worker remembers.
+MEMO = 200_000
 
 #: Words that a value may hold for "no name".
 NOTHING = frozenset("n/a na none null nil nan unknown undefined unspecified - -- – — ? . set() [] {} () 0 no not empty nothing keine aucun aucune ninguno ninguna nenhum nenhuma tbd".split())
-#: Words and signs around a name that name no other organisation.
+#: Common words and signs around a name that name no other organisation.
 DECORATIONS = frozenset(
-    """the team via quickpost inkwell mail email e mobile app customer customers support service services client clients kundenservice kundendienst help
+    """the team via mail email e mobile app customer customers support service services client clients kundenservice kundendienst help
     helpdesk centre center desk notifications notification billing no reply noreply donotreply security alerts alert accounts account payable official online
     web site website newsletter info contact office head hq headquarters ltd limited gmbh ag inc incorporated llc llp lp plc bv b v nv n sa s a sas sarl srl
     spa corp corporation co company cie kg kgaa se oy ab as pty pte usa us uk eu europe emea apac nordic nordics iberia deutschland germany france spain
     espana portugal italia italy uk ireland austria schweiz switzerland america americas north global worldwide international group holding holdings tm r c
-    and und et y of de by from at for on behalf a an service equipe l zahlungsabwicklung notificacao atencion""".split()
+    and und et y of de by from at for on behalf a an service equipe l""".split()
 )
 #: The same as they end or begin a name written in one.
-GLUED_END = sorted("team viaquickpost viainkwellmail mobileapp customersupport customerservice kundenservice securityalerts securityalert helpcentre helpdesk notifications billing noreply support service ltd limited gmbh inc llc plc bv corp co andcokg cokg usa europe emea nordic iberia deutschland france uk tm ag sa".split(), key=len, reverse=True)
+GLUED_END = sorted("team mobileapp customersupport customerservice kundenservice securityalerts securityalert helpcentre helpdesk notifications billing noreply support service ltd limited gmbh inc llc plc bv corp co andcokg cokg usa europe emea nordic iberia deutschland france uk tm ag sa".split(), key=len, reverse=True)
 GLUED_START = ("serviceclient", "team", "the")
 #: Words for kinds of organisations, never a name by themselves.
 KINDS = frozenset("university museum bank city town college school hospital institute ministry department foundation society association club church council library theatre hotel airport societe fundacion grupo cafe borse gesellschaft verein stiftung".split())
@@ -164,6 +173,9 @@ class Matcher:
     decor: Trie = field(default_factory=Trie)
     closest: dict[str, bool] = field(default_factory=dict)
     carriers: Trie = field(default_factory=Trie)
+    learned: tuple[str, ...] = ()
+    glued: list[str] = field(default_factory=list)
+    decorations: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
         self.exact = frozenset(n for n, _ in self.entries)
@@ -213,9 +225,12 @@ class Matcher:
                     self.domains.add(h, k)
                     self.tlds.add(h.rsplit(".", 1)[-1])
                     self.longest = max(self.longest, len(h))
-        for w in DECORATIONS:
+        names = {w for ws in words for w in ws}
+        self.decorations = DECORATIONS | {w for phrase in self.learned for w in phrase.split() if len(w) > 1 and w not in names}
+        self.glued = sorted({*GLUED_END, *(squash(p.split()) for p in self.learned if len(p) > 2 and not set(p.split()) & self.common)}, key=lambda w: (-len(w), w))
+        for w in self.decorations:
             self.decor.add(w, w)
-        for w in GLUED_END:
+        for w in self.glued:
             self.carriers.add(w, w)
 
     def _name(self, form: str, k: int) -> None:
@@ -226,20 +241,25 @@ class Matcher:
         got = self.closest.get(w)
         if got is None:
             plain = w.translate(_FIGURES)
-            got = w in DECORATIONS or plain in DECORATIONS or w.isdigit() or w == "&"
+            got = w in self.decorations or plain in self.decorations or w.isdigit() or w == "&"
             if not got and len(w) >= 4 and not self.names.get(w) and w not in self.common:
                 k = 1 if len(w) < 7 else 2
                 got = any((len(key) >= 4 or key in ("via", "the", "inc", "ltd", "llc", "plc")) and (d == 1 or len(key) >= 7) and key not in self.common for d, key, _ in self.decor.search(w, k))
-            self.closest[w] = got
+            self._remember(w, got)
         return got
 
+    def _remember(self, key: str, got: bool) -> None:
+        if len(self.closest) >= MEMO:
+            self.closest.clear()
+        self.closest[key] = got
+
     def _is_carrier(self, tail: str) -> bool:
         """Whether the end of a value is a misspelt phrase that names nobody."""
         got = self.closest.get("\x00" + tail)
         if got is None:
             k = 0 if len(tail) < 3 else 1 if len(tail) < 6 else 2
             got = bool(k) and any(len(p) >= 3 and (d == 1 or len(p) >= 7) for d, p, _ in self.carriers.search(tail, k))
-            self.closest["\x00" + tail] = got
+            self._remember("\x00" + tail, got)
         return got
 
     def _best(self, core: str, k: int) -> tuple[int, list[int]] | None:
@@ -289,9 +309,9 @@ class Matcher:
     def _glued(self, core: str) -> tuple[int, list[int]] | None:
         """A name joined with the words around it: those are cut off in turn until an entry is left."""
         best, todo, seen = None, [core], {core}
-        while todo and len(seen) < 40:
+        while todo:
             text = todo.pop(0)
-            for end in GLUED_END:
+            for end in self.glued:
                 if text.endswith(end) and len(text) - len(end) >= 5 and text[: -len(end)] not in seen:
                     seen.add(text[: -len(end)])
                     todo.append(text[: -len(end)])
@@ -306,15 +326,15 @@ class Matcher:
         return best
 
     def _expansions(self, words: list[str]) -> Iterator[list[str]]:
-        """The words with abbreviated common words written out, at most a few ways."""
+        """The words with abbreviated common words written out, in all ways."""
         options = []
         for k, w in enumerate(words):
             longs = [g for g in self.common if g not in DECORATIONS or g in ("services", "group", "international", "security")]
             got = [g for g in longs if k and _abbreviates(w, g)] or [g for g in longs if not k and _abbreviates(w, g) and len(words) > 1]
-            options.append([w, *sorted(got)[:4]])
+            options.append([w, *sorted(got)])
         ways: list[list[str]] = [[]]
         for o in options:
-            ways = [[*x, y] for x in ways for y in o][:32]
+            ways = [[*x, y] for x in ways for y in o]
         yield from (x for x in ways if x != words)
 
     def match(self, value: str | None) -> tuple[str, str | None, int | None]:
@@ -323,7 +343,7 @@ class Matcher:
             return "empty", None, None
         got = self.memo.get(value)
         if got is None:
-            if len(self.memo) > 200_000:
+            if len(self.memo) >= MEMO:
                 self.memo.clear()
             got = self.memo[value] = self._match(value)
         return got
@@ -362,7 +382,7 @@ class Matcher:
             if all(self._is_decoration(w) for w in others):
                 return self._domain(hosts[0][1])
         words = _words(text)
-        if not words or len(words) > MAX_WORDS * 2:
+        if not words:
             return None
         singles = sum(len(w) == 1 and w.isalnum() for w in words)
         if singles >= 4 and singles >= len(words) - 4:  # letters set apart
@@ -377,7 +397,12 @@ class Matcher:
             right -= 1
         best: tuple[int, list[int]] | None = None
         ends = {*range(max(right, 1), n + 1)} | {j for j in range(max(1, n - 4), n) if self._is_carrier(squash(words[j:]))}
-        cores = sorted({(i, j) for i in range(0, min(left, n - 1) + 1) for j in ends if i < j}, key=lambda x: (x[0] - x[1], x[0]))
+        # only what is as short as an alias; for each beginning these are few, however long the value
+        at = [0]
+        for w in words:
+            at.append(at[-1] + (len(w) if w != "&" else 0))
+        stops = sorted(ends)
+        cores = sorted(((i, j) for i in range(0, min(left, n - 1) + 1) for j in stops[bisect_right(stops, i) : bisect_right(stops, bisect_right(at, at[i] + self.longest + 3) - 1)]), key=lambda x: (x[0] - x[1], x[0]))
         for want in (0, 3):
             for i, j in cores:
                 core = words[i:j]
@@ -429,18 +454,60 @@ class Matcher:
         return False
 
 
+    def phrases(self, value: str) -> set[tuple[str, int]]:
+        """(phrase, entry) of the words on either side of the longest part of a value that is an entry's whole name."""
+        words = _words(fold(value))
+        best = None
+        at = [0]
+        for w in words:
+            at.append(at[-1] + (len(w) if w != "&" else 0))
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                if at[j] - at[i] > self.longest or (best and j - i <= best[1] - best[0]):
+                    if at[j] - at[i] > self.longest:
+                        break
+                    continue
+                hit = self.names.get(squash(words[i:j]))
+                if len(hit) == 1:
+                    best = (i, j, next(iter(hit)))
+        if best is None:
+            return set()
+        return {(" ".join(part), best[2]) for part in (words[: best[0]], words[best[1] :]) if part and at[best[0]] + at[-1] - at[best[1]] <= 60}
+
+
 _MATCHERS: dict[int, Matcher] = {}
 
 
-def matcher(entries: tuple) -> Matcher:
+def matcher(entries: tuple, learned: tuple[str, ...] = ()) -> Matcher:
     """The matcher of a reference list, built once per Python worker."""
-    key = hash(entries)
+    key = hash((entries, learned))
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher([(n, list(d)) for n, d in entries])
+        _MATCHERS[key] = Matcher([(n, list(d)) for n, d in entries], learned=learned)
     return _MATCHERS[key]
 
 
+def learn_phrases(df: DataFrame, value: str, entries: tuple) -> tuple[str, ...]:
+    """The phrases that stand beside the names of many entries in the values of df, counted over all of them."""
+    wide = sum(1 for n, _ in entries if len(_words(fold(n))) > 1)
+    least = max(LEAST_ENTRIES, int(wide * ENTRY_SHARE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matcher(entries)
+        seen: set[str] = set()
+        for batch in batches:
+            fresh = set(batch.column("value").drop_null().to_pylist()) - seen
+            seen = fresh if len(seen) + len(fresh) > MEMO else seen | fresh
+            got = sorted({x for v in fresh for x in m.phrases(v)})
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.string()), pa.array([k for _, k in got], pa.int64())], names=["phrase", "entry"])
+
+    pairs = df.select(F.col(value).alias("value")).where("value is not null").mapInArrow(run, "phrase string, entry bigint")
+    often = pairs.distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("phrase").limit(MOST_PHRASES + 1).collect()
+    if len(often) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases beside the names of the reference list")
+    return tuple(sorted(r[0] for r in often))
+
+
 def reference_entries(reference: DataFrame, name: str, aliases: str, most: int = MAX_REFERENCE) -> tuple:
     """The reference list on the driver, if it is within its bound."""
     rows = reference.where(F.col(name).isNotNull()).select(name, aliases).limit(most + 1).collect()
@@ -451,12 +518,13 @@ def reference_entries(reference: DataFrame, name: str, aliases: str, most: int =
 
 def map_to_list(df: DataFrame, keys: list[str], value: str, entries: tuple, unmatched: bool = True) -> DataFrame:
     """(keys…, value, match_status, match, match_distance) of each row; without ``unmatched`` only rows with a match."""
+    learned = learn_phrases(df, value, entries)
     rows = df.select(*keys, F.col(value).alias("value"))
     new = [StructField("match_status", StringType()), StructField("match", StringType()), StructField("match_distance", IntegerType())]
     schema = StructType([*rows.schema.fields, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher(entries)
+        m = matcher(entries, learned)
         for batch in batches:
             got = [m.match(v) for v in batch.column("value").to_pylist()]
             if not unmatched:
