@@ -49,6 +49,34 @@ def test_pack_in_rounds(spark, monkeypatch):
         pack(spark, df, "id", "n", spark.createDataFrame([("a", 0)], "run_name string, capacity_tokens int"))
 
 
+def test_items_that_never_fill_a_container(spark, monkeypatch):
+    """Nothing can be joined: no container goes up the tree, and no group is larger than GROUP."""
+    monkeypatch.setattr(packing, "GROUP", 100)
+    seen = []
+    real = packing._dealt
+    monkeypatch.setattr(packing, "_dealt", lambda items, counts, number: seen.append((number, max(r["count"] for r in real(items, counts, number).groupBy("run_name", "grp").count().collect()))) or real(items, counts, number))
+    df = spark.createDataFrame([(k, 60 + k % 3) for k in range(1000)], "id long, n long")
+    rows = pack(spark, df, "id", "n", spark.createDataFrame([("a", 100)], "run_name string, capacity_tokens int")).collect()
+    assert len({r.container for r in rows}) == len(rows) == 1000 and len(seen) == 1 and seen[0][1] <= 100
+    seen.clear()
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(k, rnd.choice([20, 35, 51, 67])) for k in range(3000)], "id long, n long")
+    rows = pack(spark, df, "id", "n", spark.createDataFrame([("a", 100)], "run_name string, capacity_tokens int")).collect()
+    assert len(rows) == 3000 and len({r.id for r in rows}) == 3000 and len(seen) > 1 and all(n <= 100 for _, n in seen)
+
+
+def test_long_texts_are_counted_as_a_whole(monkeypatch):
+    from veriloom.llm import token_sizes
+
+    rnd = random.Random(2)
+    text = "".join(rnd.choice(["word", "don't", " ", "  ", "\n", " \n", "12", "é", "!?", " x", "\t"]) for _ in range(4000))
+    want = count_tokens(text)
+    for size in (1, 7, 50, 999):
+        monkeypatch.setattr(token_sizes, "STRETCH", size)
+        assert count_tokens(text) == want
+    assert count_tokens("a" * 3000) == count_tokens("a" * 3000 + "")
+
+
 def test_tokens_and_query(spark, docs, document, schemas):
     assert count_tokens(None) == 0 and count_tokens("") == 0 and count_tokens("Hello world") == 2
     d = docs(documents=([document(1, "word " * 700), document(2, None), document(3, "hi")], schemas[0]), pack_targets=([("s", 256)], "run_name string, capacity_tokens int"))

@@ -1,11 +1,16 @@
 """Items of varying length into containers of fixed capacity, by hierarchical residual packing.
 
 Items longer than the capacity are cut into full pieces and a rest; full pieces are containers by themselves. All other
-items are dealt by hash into groups of bounded size; each group is packed best-fit, nearly full containers are final, and
-the underfull ones go up a tree as items of merged groups, for repeated best-fit rounds until one group is left.
+items are dealt by hash into groups of at most ``GROUP``; each group is packed best-fit. Containers that are nearly full, or
+into which not even the least filled underfull container of the run would go, are final. The others are the items of the
+next round, dealt anew into groups of at most ``GROUP``. Rounds end when one group was enough, or when a round joined fewer
+than ``LEAST_GAIN`` of its items. No task ever holds more than one group, whatever the sizes.
+
+Items, pieces and containers are numbered by row, not by hash, so no two share a number within a run.
 
 Edge cases: items of size 0, null sizes and null texts take no room and get piece 0 in container 0; equal items are packed
-like any others (ties by key); an empty table gives no rows; a capacity below 1 is an error.
+like any others (ties by number); repeated keys are items of their own; an empty table gives no rows; a capacity below 1 is
+an error.
 """
 
 from __future__ import annotations
@@ -19,11 +24,16 @@ from pyspark.sql import functions as F
 from veriloom.llm.token_sizes import TOKENIZER_DIR, with_sizes
 from veriloom.session import shared_path, table
 
-#: Most items a group should have, the groups merged in a round, and the fill from which a container is final.
-GROUP, FAN_IN, FULL = 20_000, 8, 0.995
+#: Most items of a group, the fill from which a container is final, the share of its items that a round must join for another.
+GROUP, FULL, LEAST_GAIN = 20_000, 0.995, 0.002
 _LOCAL = 26  # bits of a container's number within its group
 
 
+def groups_for(items: int) -> int:
+    """So many groups that hashing leaves room in each: four fifths of GROUP on average, one group for a last round."""
+    return 1 if items <= GROUP else -(-items * 5 // (GROUP * 4))
+
+
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
     """The container of each item (in the given order of items), by best fit in order of falling size."""
     order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
@@ -60,14 +70,20 @@ def _round(items: DataFrame, number: int) -> DataFrame:
         pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
         boxes = best_fit(pdf["size"].tolist(), int(pdf["capacity"].iloc[0]))
         grp = int(pdf["grp"].iloc[0])
-        pdf["box"] = [(number << 58) | (grp << _LOCAL) | (b + 1) for b in boxes]
+        pdf["box"] = [(number << 56) | (grp << _LOCAL) | (b + 1) for b in boxes]
         pdf["fill"] = pdf.groupby("box")["size"].transform("sum")
-        return pdf[["run_name", "capacity", "item", "size", "grp", "box", "fill"]]
+        return pdf[["run_name", "capacity", "item", "size", "box", "fill"]]
 
-    schema = "run_name string, capacity bigint, item bigint, size bigint, grp bigint, box bigint, fill bigint"
+    schema = "run_name string, capacity bigint, item bigint, size bigint, box bigint, fill bigint"
     return items.groupBy("run_name", "grp").applyInPandas(pack, schema)
 
 
+def _dealt(items: DataFrame, counts: dict[str, int], number: int) -> DataFrame:
+    """items with the group of each, by hash among the groups of its run."""
+    groups = F.element_at(F.create_map(*[x for run, n in counts.items() for x in (F.lit(run), F.lit(groups_for(n)))]), F.col("run_name"))
+    return items.withColumn("grp", F.pmod(F.xxhash64("item", F.lit(number)), groups.cast("long")))
+
+
 def pack(spark: SparkSession, sizes: DataFrame, key: str, size: str, runs: DataFrame) -> DataFrame:
     """(run_name, key, piece_no, piece_tokens, container) for every item of sizes and every run (run_name, capacity_tokens).
 
@@ -87,32 +103,37 @@ def pack(spark: SparkSession, sizes: DataFrame, key: str, size: str, runs: DataF
     whole, rest = F.expr("total div capacity"), F.expr("total % capacity")
     full: Column = F.explode(F.sequence(F.lit(1).cast("long"), whole))
     pieces_full = cut.where("total >= capacity").select("run_name", "key", full.alias("piece_no"), F.col("capacity").alias("piece_tokens"))
-    pieces_full = pieces_full.withColumn("container", -F.abs(F.xxhash64("run_name", F.col("key").cast("string"), "piece_no")) - 1)
+    pieces_full = pieces_full.withColumn("container", -F.monotonically_increasing_id() - 1)
     nothing = cut.where("total = 0").select("run_name", "key", F.lit(0).cast("long").alias("piece_no"), F.lit(0).cast("long").alias("piece_tokens"), F.lit(0).cast("long").alias("container"))
     small = cut.where("total % capacity > 0").select("run_name", "capacity", "key", F.when(F.col("total") > F.col("capacity"), whole + 1).otherwise(F.lit(0)).alias("piece_no"), rest.alias("size"))
-    small.withColumn("item", F.xxhash64(F.col("key").cast("string"), "piece_no")).write.parquet(f"{path}/items")
+    small.withColumn("item", F.monotonically_increasing_id()).write.parquet(f"{path}/items")
     items = spark.read.parquet(f"{path}/items")
-    most = items.groupBy("run_name").count().agg(F.max("count")).first()[0] or 0
-    groups = max(1, -(-most // GROUP))
-    depth = 0
-    current = items.select("run_name", "capacity", "item", "size", F.pmod(F.xxhash64("item", F.lit(17)), F.lit(groups)).alias("grp"))
+    current = items.select("run_name", "capacity", "item", "size")
+    counts = {r[0]: r[1] for r in current.groupBy("run_name").count().collect()}
     rounds: list[DataFrame] = []
-    while True:
-        _round(current, depth + 1).write.parquet(f"{path}/round-{depth}")
-        done = spark.read.parquet(f"{path}/round-{depth}")
+    while counts:
+        number = len(rounds) + 1
+        _round(_dealt(current, counts, number), number).write.parquet(f"{path}/round-{number}")
+        done = spark.read.parquet(f"{path}/round-{number}")
         rounds.append(done)
-        if groups == 1 or depth >= 12:
-            break
-        groups = -(-groups // FAN_IN)
-        depth += 1
-        under = done.where(F.col("fill") < F.ceil(F.col("capacity") * F.lit(FULL)))
-        current = under.groupBy("run_name", "capacity", "box").agg(F.max("fill").alias("size"), F.max("grp").alias("grp")).select("run_name", "capacity", F.col("box").alias("item"), "size", F.expr(f"grp div {FAN_IN}").alias("grp"))
-        if current.isEmpty():
+        boxes = done.groupBy("run_name", "capacity", "box").agg(F.max("fill").alias("size"))
+        under = boxes.where(F.col("size") < F.ceil(F.col("capacity") * F.lit(FULL)))
+        left = F.when(F.col("size") < F.ceil(F.col("capacity") * F.lit(FULL)), F.col("size"))
+        after = {r[0]: r[1:] for r in boxes.groupBy("run_name").agg(F.count(F.lit(1)), F.min(left)).collect()}
+        # another round for the runs that had more than one group and in which this one still joined enough
+        more = {run: least for run, (n, least) in after.items() if least is not None and groups_for(counts[run]) > 1 and (counts[run] - n) >= LEAST_GAIN * counts[run]}
+        if not more:
             break
-    placed = rounds[0].select("run_name", "item", F.col("box").alias("container"))
-    for r in rounds[1:]:
-        up = r.select("run_name", F.col("item").alias("container"), F.col("box").alias("higher"))
-        placed = placed.join(up, ["run_name", "container"], "left").select("run_name", "item", F.coalesce("higher", "container").alias("container"))
+        least = F.element_at(F.create_map(*[x for run, v in more.items() for x in (F.lit(run), F.lit(v))]), F.col("run_name"))
+        current = under.where(F.col("run_name").isin(list(more)) & (F.col("size") + least <= F.col("capacity"))).select("run_name", "capacity", F.col("box").alias("item"), "size")
+        counts = {r[0]: r[1] for r in current.groupBy("run_name").count().collect()}
+    if rounds:
+        placed = rounds[0].select("run_name", "item", F.col("box").alias("container"))
+        for r in rounds[1:]:
+            up = r.select("run_name", F.col("item").alias("container"), F.col("box").alias("higher"))
+            placed = placed.join(up, ["run_name", "container"], "left").select("run_name", "item", F.coalesce("higher", "container").alias("container"))
+    else:
+        placed = items.select("run_name", "item", F.lit(0).cast("long").alias("container"))
     packed = items.join(placed, ["run_name", "item"]).select("run_name", "key", "piece_no", F.col("size").alias("piece_tokens"), "container")
     return packed.unionByName(pieces_full).unionByName(nothing).withColumnRenamed("key", key)
 
@@ -129,7 +150,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens and unused share of each run."""
     boxes = p7_containers(spark, sf_dir).where("piece_tokens > 0").groupBy("run_name", "container").agg(F.sum("piece_tokens").alias("fill"))
-    runs = F.broadcast(table(spark, sf_dir, "pack_targets").limit(1000))
+    runs = table(spark, sf_dir, "pack_targets")
     return (
         boxes.join(runs, "run_name")
         .groupBy("run_name", "capacity_tokens")

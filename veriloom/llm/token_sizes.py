@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,8 +16,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters that are encoded at once; longer texts are counted in stretches cut at a line end or space.
+#: Characters that are encoded at once. Longer texts are counted in stretches of at least so many, cut before a single space
+#: between two other signs: a piece of the pattern always begins there, so the count is that of the whole text.
 STRETCH = 1 << 20
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 @functools.lru_cache(maxsize=2)
@@ -36,10 +39,8 @@ def count_tokens(text: str | None, folder: str = TOKENIZER_DIR) -> int:
         return len(e.encode_ordinary(text))
     total, at = 0, 0
     while at < len(text):
-        end = min(len(text), at + STRETCH)
-        if end < len(text):
-            cut = max(text.rfind("\n", at, end), text.rfind(" ", at, end))
-            end = cut if cut > at else end
+        cut = _CUT.search(text, at + STRETCH) if at + STRETCH < len(text) else None
+        end = cut.start() if cut else len(text)
         total += len(e.encode_ordinary(text[at:end]))
         at = end
     return total
