@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from veriloom.llm.email_parts import SuffixAutomaton, anchors, bare_subject, inherited_lines, not_new, p5_found
+from veriloom.llm import email_parts
+from veriloom.llm.email_parts import SuffixAutomaton, anchors, bare_subject, inherited_lines, new_text, not_new, p5_found, p5_reduced, p5_steps, p5_subjects, paragraphs
 from veriloom.llm.pii import EDGES, Lexicon, Model, Node, candidates, edges_of, fit, fit_on, infer, lexicon_of, lexicon_of_texts, names_shown, p6_found, p6_messages, p6_redacted, pieces, redact, send
 
 MAIL = """Hi Ruth,
@@ -92,6 +93,35 @@ def test_p5_sources(spark, docs, document, schemas):
     assert got == {("documents", "2", 3), ("documents", "5", 2), ("documents", "41", 2)}
 
 
+def thread_rows(document, n=12):
+    """A thread in which quoted text bears no mark at all, and a notice in words that no list has."""
+    rnd = random.Random(11)
+    notice = "Printed on recycled electrons, handled with due care by the department of harmless phrases."
+    said = [" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(900)}" for _ in range(45 + 3 * k)) for k in range(n)]  # of mails that are alike otherwise, the shorter is the earlier
+    rows = [document(k, (f"my answer {k} to that\n\n" if k else "") + said[k] + ("\n\n" + said[k - 1] if k else "") + "\n\n" + notice, "Re: plan" if k else "plan") for k in range(n)]
+    return rows, said, notice
+
+
+@pytest.mark.parametrize("size", [64, 1])
+def test_what_form_alone_does_not_find(spark, docs, document, schemas, monkeypatch, size):
+    monkeypatch.setattr(email_parts, "SOURCES", size)
+    monkeypatch.setattr(email_parts, "REPLIES", size)
+    rows, said, notice = thread_rows(document)
+    d = docs(documents=([*rows, document(90, None, None), document(91, "", "x")], schemas[0]), req2_llm_classified=([("f", None, None, None, "Re: a", None, 0), ("g", None, None, None, None, None, 0)], schemas[1]))
+    told = {r.step: r for r in p5_steps(spark, d).collect()}
+    assert "form" not in told and told["ending"].lines == 12 and told["inherited"].lines == 12 and told["inherited"].alone == 11
+    texts = {r.rec_key: r for r in p5_reduced(spark, d).collect()}
+    assert texts["0"].new_text == said[0] and texts["5"].new_text == f"my answer 5 to that\n\n{said[5]}" and texts["5"].bare_subject == "plan"
+    assert texts["90"].new_text is None and texts["91"].new_text == "" and len(texts) == 14
+    assert {tuple(r) for r in p5_subjects(spark, d).collect()} == {("f", "Re: a", "a", True), ("g", None, None, False)}
+
+
+def test_paragraphs_and_new_text():
+    assert [x[1:] for x in paragraphs("a b\nc\n\n> d\n> e\n>\n> f\n\ng")] == [(True, 1, 2), (False, 4, 5), (True, 7, 7), (True, 9, 9)]
+    assert paragraphs("A  b") [0][0] == paragraphs("> a\n> B")[0][0] and paragraphs("") == []
+    assert new_text("a\n\n> b\n\nc\n\n\nd", {3}) == "a\n\nc\n\n\nd" and new_text(None, {1}) is None and new_text("x", {1}) == ""
+
+
 FIRST = "Peter Anna Dean Zora Ylva Colin Frieda Tomas Ines Olga Bruno Mark Ruth May".split()
 LAST = "Galavlow Rasorren Kroortden Talithgard Quistad Brovane Dunelin Stenholm Verimar Oldane".split()
 

@@ -2,10 +2,12 @@
 
 Three steps. (1) The form of the text: lines under a quote mark, the lines that introduce earlier messages and all that
 follows them unmarked, the signature from its delimiter or closing formula on, and notices of device, list or
-organisation. (2) Inheritance: per thread a generalised suffix automaton over the words of earlier messages; long matches
-are inherited however they are wrapped or marked. Messages meet only if they share a sampled run of words with the first
-message of the thread that has it, so a thread of any size is never in one task. (3) Endings: a closing paragraph that
-stands at the end wherever it occurs, in many different mails, is one that senders append.
+organisation. (2) Inheritance: a generalised suffix automaton over the words of a thread's earlier messages, in their order;
+matches of ``INHERITED_WORDS`` are inherited however they are wrapped or marked. Messages meet only if they share a sampled
+run of words with the first message of the thread that has it. A large thread is split: an automaton holds about ``SOURCES``
+messages, and about ``REPLIES`` are held against it, so a thread of any size is never in one task. (3) Endings: a paragraph
+that closes a message or a quoted part wherever it occurs, in many different mails, is one that senders append, whatever it says.
+The three steps are independent of each other; a line is not new if one of them says so.
 
 Edge cases: null and empty texts have no lines; blank lines are never reported; ``\\r`` before a line end is ignored; exact
 copies of a mail don't inherit from each other; a text without line breaks is one line; a quote mark before a number
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,11 @@ from veriloom.llm.mojibake import repair
 from veriloom.llm.unicode_forms import tidy
 from veriloom.session import shared_path, table
 
-#: Fewest words of a run that counts as inherited, and of those sampled to find who may have it.
-INHERITED_WORDS = 40
+#: Fewest words of a run that counts as inherited; runs of half as many are sampled to find who may have it. Mails of one
+#: thread share single stock sentences, so shorter runs name lines that were written anew.
+INHERITED_WORDS = 30
+#: Earlier messages in an automaton, and messages held against it, on average.
+SOURCES, REPLIES = 64, 256
 #: A paragraph is an appended ending if it closes this many different mails …
 ENDING_MAILS = 8
 #: … and this share of the mails that have it as a paragraph.
@@ -298,7 +304,7 @@ def not_new(text: str | None) -> list[int]:
         while j < n and lines[j].strip() and not out[j]:
             j += 1
         for k in range(i, j):
-            if _NOTICE.match(" ".join(lines[k:j]).strip()[:400]) and (k == i or _NOTICE.match(lines[k].strip()) or _DELIMITER.match(lines[k - 1])):
+            if (k == i or _NOTICE.match(lines[k].strip()) or _DELIMITER.match(lines[k - 1])) and _NOTICE.match(" ".join(lines[k:j]).strip()):
                 for x in range(k, j):
                     out[x] = True
                 if k > i and _DELIMITER.match(lines[k - 1]):
@@ -393,6 +399,7 @@ class SuffixAutomaton:
 
 
 _WORD = re.compile(r"[^\W_]+")
+_QUOTE_MARKS = re.compile(r"[\s>|]*")
 
 
 def words_of(text: str) -> tuple[list[str], list[int]]:
@@ -456,60 +463,66 @@ def inherited_lines(text: str, earlier: list[str], least: int = INHERITED_WORDS)
     a = SuffixAutomaton()
     for e in earlier:
         a.add(words_of(e)[0])
+    total = line_hits(text, a, least)
+    return sorted(k for k, (hits, n) in total.items() if 2 * len(hits) > n)
+
+
+def line_hits(text: str, automaton: SuffixAutomaton, least: int = INHERITED_WORDS) -> dict[int, tuple[list[int], int]]:
+    """For each line with inherited words: their places among the words of the text, and the number of its words. None for a
+    text that is inherited as a whole, which is a copy and no reply."""
     words, at = words_of(text)
-    hit = a.inherited(words, least)
-    if all(hit) and len(earlier) == 1:
-        return []  # a copy, not a reply
-    total: dict[int, list[int]] = {}
-    for k, h in zip(at, hit, strict=True):
-        t = total.setdefault(k, [0, 0])
-        t[0] += h
-        t[1] += 1
-    return sorted(k for k, (h, n) in total.items() if 2 * h > n)
+    hit = automaton.inherited(words, least)
+    if all(hit):
+        return {}
+    total: dict[int, tuple[list[int], int]] = {}
+    for place, (line, h) in enumerate(zip(at, hit, strict=True)):
+        places, n = total.get(line, ([], 0))
+        if h:
+            places.append(place)
+        total[line] = (places, n + 1)
+    return {k: v for k, v in total.items() if v[0]}
+
+
+def paragraphs(text: str) -> list[tuple[int, bool, int, int]]:
+    """(hash of its words, whether it closes the text or a part of one quote level, first line, last line) of every paragraph."""
+    found: list[tuple[str, int, int, int]] = []
+    level = begun = -1
+    words: list[str] = []
+    rows = text.split("\n")
+    for number, row in enumerate([*rows, ""], 1):
+        m = _QUOTE_MARKS.match(row)
+        body = row[m.end() :].split()
+        depth = m[0].count(">") + m[0].count("|")
+        if words and (not body or depth != level):
+            found.append((" ".join(words).lower(), level, begun, number - 1))
+            words = []
+        if body:
+            if not words:
+                level, begun = depth, number
+            words += body
+    return [(xxhash.xxh3_64_intdigest(t) - (1 << 63), k + 1 == len(found) or found[k + 1][1] != d, a, b) for k, (t, d, a, b) in enumerate(found)]
 
 
 def _parts(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One Python pass over the texts, written once: lines by form, the thread, anchors of words, the closing paragraph."""
+    """One Python pass over the texts, written once: lines by form, the thread, the paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, subjects, users = (batch.column(c).to_pylist() for c in ("rec_key", "text", "subject", "user_name"))
-            lines, threads, replies, sums, last_hash, last_lines, others = [], [], [], [], [], [], []
+            texts, subjects, users = (batch.column(c).to_pylist() for c in ("text", "subject", "user_name"))
+            lines, threads, replies, sums, parts = [], [], [], [], []
             for text, subject, user in zip(texts, subjects, users, strict=True):
-                marked = not_new(text)
-                lines.append(marked)
+                lines.append(not_new(text))
                 reply, bare = bare_subject(subject)
                 bare = (bare or "").lower()
                 replies.append(reply)
                 threads.append(xxhash.xxh3_64_intdigest(f"{user}\x1f{bare}") - (1 << 63) if bare and user and text else None)
                 sums.append(xxhash.xxh3_64_intdigest(text) - (1 << 63) if text else None)
-                mine = set(marked)
-                last, rest = None, []
-                rows = (text or "").split("\n")
-                k = len(rows)
-                while k > 0:
-                    while k > 0 and not rows[k - 1].strip():
-                        k -= 1
-                    j = k
-                    while j > 0 and rows[j - 1].strip():
-                        j -= 1
-                    if k > j:
-                        numbers = [x for x in range(j + 1, k + 1) if x not in mine]
-                        if numbers and len(numbers) <= 8:
-                            h = xxhash.xxh3_64_intdigest(" ".join(" ".join(rows[x - 1] for x in numbers).split()).lower()) - (1 << 63)
-                            if last is None and not rest and k == len("\n".join(rows).rstrip().split("\n")):
-                                last = (h, numbers)
-                            else:
-                                rest.append(h)
-                    k = j
-                last_hash.append(last[0] if last else None)
-                last_lines.append(last[1] if last else [])
-                others.append(list(set(rest)))
-            data = [batch.column("rec_key"), lines, threads, replies, sums, last_hash, last_lines, others]
-            types = [pa.string(), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([d if k == 0 else pa.array(d, t) for k, (d, t) in enumerate(zip(data, types, strict=True))], names=["rec_key", "lines", "thread", "reply", "text_sum", "last_hash", "last_lines", "others"])
-
-    schema = "rec_key string, lines array<int>, thread bigint, reply boolean, text_sum bigint, last_hash bigint, last_lines array<int>, others array<bigint>"
+                parts.append([{"h": h, "closes": c, "first": a, "last": b} for h, c, a, b in paragraphs(text)] if text else [])
+            data = [batch.column("rec_key"), lines, threads, replies, sums, parts]
+            types = [None, pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("closes", pa.bool_()), ("first", pa.int32()), ("last", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(d, t) if t else d for d, t in zip(data, types, strict=True)], names=["rec_key", "lines", "thread", "reply", "text_sum", "parts"])
+
+    schema = "rec_key string, lines array<int>, thread bigint, reply boolean, text_sum bigint, parts array<struct<h:bigint,closes:boolean,first:int,last:int>>"
     path = shared_path(spark, "email-parts")
     docs.select("rec_key", "text", "subject", "user_name").mapInArrow(run, schema).write.parquet(path)
     return spark.read.parquet(path)
@@ -552,40 +565,96 @@ def _inherited(parts: DataFrame, docs: DataFrame) -> DataFrame:
     grams = parts.sparkSession.read.parquet(path)
     first = grams.groupBy("run").agg(F.min(F.struct("rank", "text_sum", "rec_key")).alias("first"))
     pairs = grams.join(first, "run").where("rank > first.rank").select("rec_key", F.col("first.rec_key").alias("source")).distinct()
-    sources = pairs.join(whole.select(F.col("rec_key").alias("source"), "text"), "source").groupBy("rec_key").agg(F.collect_list("text").alias("earlier"))
-    joined = sources.join(whole, "rec_key")
+    met = pairs.join(members.select("rec_key", "thread"), "rec_key")
+    sizes = met.groupBy("thread").agg(F.approx_count_distinct("source").alias("sources"), F.approx_count_distinct("rec_key").alias("replies"))
+    part = lambda key, n, size: F.pmod(F.xxhash64(key), F.ceil(F.col(n) / size))
+    met = met.join(sizes, "thread").select("thread", part("source", "sources", SOURCES).alias("bucket"), part("rec_key", "replies", REPLIES).alias("block"), "source", "rec_key")
+    group = ["thread", "bucket", "block"]
+    told = members.join(docs.select("rec_key", "text"), "rec_key").join(ranks.withColumnRenamed("reply", "later"), ["thread", "text_sum"]).select("rec_key", "text", "later", "text_sum")
+    earlier = met.select(*group, F.col("source").alias("rec_key")).distinct().join(told, "rec_key")
+    earlier = earlier.select(*[F.col(c).alias(f"s_{c}") for c in earlier.columns])  # names of its own: both sides come from one table
+    replies = met.select(*group, "rec_key").distinct().join(told, "rec_key")
+
+    def mark(sources: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
+        """The messages of a part of a thread in their order: each is held against the automaton of all that came before."""
+
+        def in_order(pdf: pd.DataFrame) -> list[tuple]:
+            return sorted(((r.later, len(words_of(r.text)[0])), r.text_sum, r.rec_key, r.text) for r in pdf.itertuples())
+
+        waiting, automaton, rows = in_order(sources.rename(columns=lambda c: c.removeprefix("s_"))), SuffixAutomaton(), []
+        at = 0
+        for rank, _, key, text in in_order(later):
+            while at < len(waiting) and waiting[at][0] < rank:
+                automaton.add(words_of(waiting[at][3])[0])
+                at += 1
+            rows += [(key, line, places, n) for line, (places, n) in line_hits(text, automaton).items()]
+        return pd.DataFrame(rows, columns=["rec_key", "line_no", "places", "n"])
+
+    hits = earlier.groupBy(*[f"s_{c}" for c in group]).cogroup(replies.groupBy(*group)).applyInPandas(mark, "rec_key string, line_no int, places array<int>, n int")
+    all_places = hits.groupBy("rec_key", "line_no").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hits"), F.first("n").alias("n"))
+    return all_places.where(F.col("hits") * 2 > F.col("n")).select("rec_key", "line_no")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, numbers = [], []
-            for key, text, earlier in zip(*(batch.column(c).to_pylist() for c in ("rec_key", "text", "earlier")), strict=True):
-                for k in inherited_lines(text, earlier):
-                    keys.append(key)
-                    numbers.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int32())], names=["rec_key", "line_no"])
 
-    return joined.mapInArrow(mark, "rec_key string, line_no int")
+def _endings(parts: DataFrame) -> DataFrame:
+    """(rec_key, line_no) of closing paragraphs that many different mails end with and hardly any has elsewhere."""
+    each = parts.select("rec_key", "text_sum", F.explode("parts").alias("p")).select("rec_key", "text_sum", "p.*")
+    seen = each.groupBy("h").agg(F.approx_count_distinct(F.when(F.col("closes"), F.col("text_sum"))).alias("mails"), F.avg(F.col("closes").cast("int")).alias("share"))
+    appended = seen.where((F.col("mails") >= ENDING_MAILS) & (F.col("share") >= ENDING_SHARE)).select("h")
+    return each.where("closes").join(appended, "h", "left_semi").select("rec_key", F.explode(F.sequence("first", "last")).alias("line_no"))
 
 
-def _endings(parts: DataFrame) -> DataFrame:
-    """(rec_key, line_no) of closing paragraphs that many senders' mails end with and hardly any has elsewhere."""
-    closing = parts.where("last_hash is not null").select(F.col("last_hash").alias("h"), "text_sum", F.lit(1).alias("closes"))
-    inside = parts.select(F.explode("others").alias("h"), "text_sum").withColumn("closes", F.lit(0))
-    seen = closing.unionByName(inside).groupBy("h").agg(F.approx_count_distinct(F.when(F.col("closes") == 1, F.col("text_sum"))).alias("mails"), F.avg("closes").alias("share"))
-    appended = seen.where((F.col("mails") >= ENDING_MAILS) & (F.col("share") >= ENDING_SHARE)).select(F.col("h").alias("last_hash"))
-    return parts.join(appended, "last_hash", "left_semi").select("rec_key", F.explode("last_lines").alias("line_no"))
+def steps(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(rec_key, line_no, step) of what each of the three steps says of docs (rec_key, text, subject, user_name)."""
+    parts = _parts(spark, docs)
+    said = lambda df, step: df.withColumn("step", F.lit(step))
+    form = parts.select("rec_key", F.explode("lines").alias("line_no"))
+    return said(form, "form").unionByName(said(_inherited(parts, docs), "inherited")).unionByName(said(_endings(parts), "ending"))
 
 
 def not_newly_written(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(rec_key, line_no) of the lines of docs (rec_key, text, subject, user_name) that their senders didn't newly write."""
-    parts = _parts(spark, docs)
-    form = parts.select("rec_key", F.explode("lines").alias("line_no"))
-    return form.unionByName(_inherited(parts, docs)).unionByName(_endings(parts)).distinct()
+    return steps(spark, docs).select("rec_key", "line_no").distinct()
+
+
+def reduced(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(rec_key, new_text, bare_subject) of every row of docs: the newly written lines, and the subject without marks.
+
+    Runs of blank lines that a removed part leaves become one; a text of which nothing is new becomes empty, null stays null.
+    """
+    gone = not_newly_written(spark, docs).groupBy("rec_key").agg(F.collect_list("line_no").alias("gone"))
+    rows = docs.select("rec_key", "text", "subject").join(gone, "rec_key", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [new_text(t, set(g or ())) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+            bare = [bare_subject(s)[1] for s in batch.column("subject").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rec_key"), pa.array(texts, pa.string()), pa.array(bare, pa.string())], names=["rec_key", "new_text", "bare_subject"])
+
+    return rows.mapInArrow(run, "rec_key string, new_text string, bare_subject string")
+
+
+def new_text(text: str | None, gone: set[int]) -> str | None:
+    """The text without the lines of those numbers."""
+    if text is None or not gone:
+        return text
+    kept: list[str] = []
+    cut = False
+    for number, line in enumerate(text.split("\n"), 1):
+        if number in gone:
+            cut = True
+        elif line.strip() or not cut or (kept and kept[-1].strip()):
+            kept.append(line)
+            cut = cut and not line.strip()
+    return "\n".join(kept).strip()
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rec_key"), "text", "subject", "user_name")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src_table, rec_key, line_no): inherited and appended lines of documents; marked subjects as line 0."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rec_key"), "text", "subject", "user_name")
+    docs = _documents(spark, sf_dir)
     found = not_newly_written(spark, docs).select(F.lit("documents").alias("src_table"), "rec_key", "line_no")
     rows = table(spark, sf_dir, "req2_llm_classified").select(F.col("file").alias("rec_key"), "subject").where("subject is not null")
 
@@ -598,4 +667,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(marked)
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_key, new_text, bare_subject) of every document."""
+    return reduced(spark, _documents(spark, sf_dir))
+
+
+def p5_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_key, subject, bare_subject, marked) of every row of req2_llm_classified."""
+    rows = table(spark, sf_dir, "req2_llm_classified").select(F.col("file").alias("rec_key"), "subject")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [bare_subject(x) for x in batch.column("subject").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b for _, b in got], pa.string()), pa.array([m for m, _ in got], pa.bool_())], names=["rec_key", "subject", "bare_subject", "marked"])
+
+    return rows.mapInArrow(run, "rec_key string, subject string, bare_subject string, marked boolean")
+
+
+def p5_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(step, lines, alone): lines of documents that each step finds, and those that no other step finds."""
+    by_line = steps(spark, _documents(spark, sf_dir)).groupBy("rec_key", "line_no").agg(F.collect_set("step").alias("by"))
+    return by_line.select(F.explode("by").alias("step"), (F.size("by") == 1).cast("int").alias("one")).groupBy("step").agg(F.count(F.lit(1)).alias("lines"), F.sum("one").alias("alone"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_reduced": p5_reduced, "p5_subjects": p5_subjects, "p5_steps": p5_steps}
