@@ -166,6 +166,21 @@ def _latin_word(word: str) -> tuple[str, tuple[str, str]] | None:
         return f"{ending[1]}ó{ending[2]}", ("mac-roman", "cp1252") if "—" in word else ("cp1252", "cp437")
     if "’" in high and all(c == "’" or c in LATIN_LETTERS for c in high) and (_APOSTROPHE.fullmatch(word) or len(re.split("’", word)[-1]) > 4):
         return None
+    return next(((new, pair) for pair, new in _latin_readings(word)), None)
+
+
+#: Accented letters by how often the languages of the mail write them, roughly: the earlier, the likelier a reading that has it.
+_ACCENTED = {c: 1 - k / 40 for k, c in enumerate("éüäöáãçíóèàêñßúôâõîëùûï")}
+
+
+def likelihood(word: str, new: str) -> float:
+    """How much a re-reading speaks for its pair: one for the word, and how usual the letters are that it brings."""
+    brought = [n for o, n in zip(word, new, strict=True) if o != n]
+    return 1 + sum(_ACCENTED.get(n.lower(), 0.2) for n in brought) / max(1, len(brought))
+
+
+def _latin_readings(word: str) -> Iterator[tuple[tuple[str, str], str]]:
+    """(pair, re-read word) of the pairs under which a word is right that looks wrong as it stands."""
     for true, wrong in LATIN_PAIRS:
         new = reread(word, true, wrong)
         if new is None or new == word or len(new) != len(word) or not _latin_ok(new):
@@ -176,8 +191,7 @@ def _latin_word(word: str) -> tuple[str, tuple[str, str]] | None:
         # a mark between two letters, or a strange letter within a word, is evidence; a mark at an edge is not
         strong = sum(1 for o, n, k in changed if n not in _RARE_LATIN and o not in _LOOK_ALIKE and (o not in _WEAK_MARKS or (0 < k < len(word) - 1 and word[k - 1].isalpha() and word[k + 1].isalpha() and o not in "–—…·°º")))
         if strong:
-            return new, (true, wrong)
-    return None
+            yield (true, wrong), new
 
 
 def _is_russian_word(word: str) -> bool:
@@ -353,7 +367,15 @@ def _repair(text: str) -> tuple[bool, str]:
             pairs[pair] = pairs.get(pair, 0) + 1
     if pairs:
         damaged = True
-        true, wrong = max(pairs, key=pairs.get)
+        # One text was most likely read wrongly in one way: the pair that explains the words best decides for all of them.
+        weights: dict[tuple[str, str], float] = {}
+        readings = {part: dict(_latin_readings(part)) for part, new in fixes.items() if len(part) == len(new)}
+        for part, found in readings.items():
+            for pair, new in found.items():
+                weights[pair] = weights.get(pair, 0.0) + likelihood(part, new)
+        true, wrong = max(weights, key=weights.get) if weights else max(pairs, key=pairs.get)
+        for part, found in readings.items():
+            fixes[part] = found.get((true, wrong), fixes[part])
         for w in odd:  # the rest of the text, where the pair makes words of what no language writes
             new = reread(w, true, wrong)
             if new and new != w and len(new) == len(w) and (not _latin_ok(w.strip(_EDGE)) or w.strip(_EDGE) != w) and all(c.isascii() or c in LATIN_LETTERS or c in "¿¡«»“”’–—" for c in new) and _case_ok(new):

@@ -27,8 +27,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every display name with its readable and its comparison form."""
-    return normalise_text(_classified(spark, sf_dir, "from_name"), "from_name")
+    """(src_table, rec_key, text_tidy, text_key): every text and every display name with its readable and its comparison form."""
+    docs = normalise_text(_documents(spark, sf_dir, "text"), "text").select(F.lit("documents").alias("src_table"), "rec_key", "text_tidy", "text_key")
+    names = normalise_text(_classified(spark, sf_dir, "from_name"), "from_name").select(F.lit("req2_llm_classified").alias("src_table"), "rec_key", "text_tidy", "text_key")
+    return docs.unionByName(names)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +42,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The damaged fields of documents with their original text as far as it is known."""
-    return damaged_fields(_documents(spark, sf_dir, "text", "subject"), ["rec_key"], ["text", "subject"])
+    """(src_table, rec_key, field, original): the damaged fields of both tables with their original text as far as it is known."""
+    docs = damaged_fields(_documents(spark, sf_dir, "text", "subject"), ["rec_key"], ["text", "subject"])
+    rows = damaged_fields(_classified(spark, sf_dir, "subject"), ["rec_key"], ["subject"])
+    tag = lambda df, t: df.select(F.lit(t).alias("src_table"), "rec_key", "field", "original")
+    return tag(docs, "documents").unionByName(tag(rows, "req2_llm_classified"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised, "p2_found": p2_found, "p2_repaired": p2_repaired}

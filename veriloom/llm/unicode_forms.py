@@ -149,9 +149,19 @@ def canonical(text: str | None) -> str | None:
     return " ".join(unicodedata.normalize("NFC", text).split())
 
 
-def _per_distinct(values: list[str | None], f: Callable[[str | None], object]) -> list:
-    memo: dict[str | None, object] = {}
-    return [memo[v] if v in memo else memo.setdefault(v, f(v)) for v in values]
+def per_distinct(values: pa.Array, *functions: Callable[[str | None], object]) -> list[pa.Array]:
+    """The results of functions of a column, each worked out once for every distinct value of the column."""
+    coded = values.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    return [pa.array([f(v) for v in distinct], pa.bool_() if f in _TESTS else pa.string()).take(coded.indices) for f in functions]
+
+
+def looks_alike(text: str | None) -> bool:
+    """Whether a text is not in the form that looks the same and has only usual characters, and isn't wrongly decoded besides."""
+    return tidy(text) != text and not repair(text)[0]
+
+
+_TESTS = (looks_alike,)
 
 
 def normalise_text(df: DataFrame, field: str, readable: str = "text_tidy", key: str = "text_key") -> DataFrame:
@@ -166,21 +176,19 @@ def normalise_text(df: DataFrame, field: str, readable: str = "text_tidy", key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(field).to_pylist()
-            new = [pa.array(_per_distinct(values, f), pa.string()) for f in (tidy, canonical)]
+            new = per_distinct(batch.column(field), tidy, canonical)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=[*kept, readable, key])
 
     return df.select(*kept + ([] if field in kept else [field])).mapInArrow(run, StructType(fields))
 
 
 def cases(df: DataFrame, keys: list[str], field: str) -> DataFrame:
-    """The keys of rows whose field is a case and isn't wrongly decoded besides. ASCII rows never reach Python."""
+    """The keys of rows whose field differs from its tidy form and isn't wrongly decoded besides. ASCII rows never reach Python."""
     rows = df.select(*keys, F.col(field).alias("__value")).where(F.col("__value").rlike(r"[^\x00-\x7F]"))
     schema = df.select(*keys).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = _per_distinct(batch.column("__value").to_pylist(), lambda v: is_case(v) and not repair(v)[0])
-            yield batch.select(keys).filter(pa.array(hits, pa.bool_()))
+            yield batch.select(keys).filter(per_distinct(batch.column("__value"), looks_alike)[0])
 
     return rows.mapInArrow(run, schema)
