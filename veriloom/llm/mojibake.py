@@ -283,12 +283,15 @@ def _verdict(w: str) -> tuple[str, str, tuple[str, str]] | str | None:
 
 def repair(text: str | None) -> tuple[bool, str | None]:
     """(whether any part was decoded wrongly, the text with the spans put right that still can be)."""
-    if text is None or text.isascii():
-        return False, text
-    for w in text.replace("\n", " ").split(" "):  # at plain spaces only: others can be part of a garbled sequence
-        if not w.isascii() and not (_SOUND.get(w) or _is_sound(w)):
-            return _repair(text)
-    return False, text
+    return _repair(text) if text is not None and is_suspicious(text) else (False, text)
+
+
+def is_suspicious(text: str) -> bool:
+    """Whether a text holds a word that is not sound by itself, without which no part of it was decoded wrongly."""
+    if text.isascii():
+        return False
+    # at plain spaces only: others can be part of a garbled sequence
+    return any(not w.isascii() and not (_SOUND.get(w) or _is_sound(w)) for w in text.replace("\n", " ").split(" "))
 
 
 #: Words (between spaces) that hold nothing suspicious by themselves, per Python worker.
