@@ -2,7 +2,7 @@ from datetime import datetime, timezone
 
 import pytest
 
-from veriloom.operators.timestamps import STATED, em, normalise_timestamps, read
+from veriloom.operators.timestamps import STATED, em, native_instants, normalise_timestamps, read
 
 W = em({}, STATED)
 
@@ -80,3 +80,34 @@ def test_p3_against_brute_force(spark, tmp_path):
     spark.createDataFrame(decided, "join_key string, date_iso string").write.parquet(str(tmp_path / "decision.parquet"))
     spark.createDataFrame([("u", None), ("v", "Europe/Berlin")], "user_name string, tz_name string").write.parquet(str(tmp_path / "mailbox.parquet"))
     assert sorted(r[0] for r in p3_found(spark, str(tmp_path)).collect()) == ["u/2", "v/4"]
+
+
+def test_native_reading_is_the_same(spark):
+    """What native expressions read is what the formats say, and all else is left to them."""
+    texts = [
+        "2019-03-01T01:00:22+01:00", "2019-03-01 01:00:22.999-0530", "2019-03-01T01:00Z", "2024-02-29T23:59:59Z", "2023-02-29T00:00:00Z", "2022-13-05T08:00:00Z", "2022-00-05T08:00:00Z", "2022-01-00T08:00:00Z",
+        "2022-01-01T24:00:00Z", "2022-01-01T10:60:00Z", "2022-01-01T10:00:60Z", "2022-01-01T10:00:00+14:00", "2022-01-01T10:00:00+14:01", "2022-01-01T10:00:00-05:60", "0001-01-01T00:00:00Z", "0000-01-01T00:00:00Z",
+        "9999-12-31T23:59:59-14:00", "1969-12-31T23:59:59Z", "1551612888.749745", "1551612888", "999999999", "1551552308741", "99999999", "20190301101112", "-5", "1551505317948386", "2019-03-01T01:00:22+01:00[Europe/Berlin]",
+        " 2019-03-01T00:36:37+00:00 ", "٢٠١٩-03-01T00:36:37Z", "", None, "x" * 100_000, "2019-03-01" + " " * 50_000 + "x", "03/04/2019 02:14 PM",
+    ]
+    df = spark.createDataFrame([(k, t, "s", "UTC") for k, t in enumerate(texts)], "k int, v string, source string, z string")
+    got = {r.k: (r.instant_s, r.instant_status) for r in normalise_timestamps(df, "v", "source", "z", STATED).collect()}
+    assert got == {k: read(t, "UTC", W)[:2] for k, t in enumerate(texts)}
+    assert native_instants(df, "v")[0].count() == 22
+
+
+def test_instants_of_a_made_mail_stream(spark, tmp_path):
+    """Dashed dates have no stated order: each mailbox's own values say it, and where they don't, the value is marked."""
+    from veriloom.plans.timestamp_queries import p3_instants, p3_status_counts
+
+    mail = [(f"a/{k}", f"{13 + k % 15}-04-2020 10:00") for k in range(40)] + [(f"b/{k}", f"04-{13 + k % 15}-2020 10:00") for k in range(40)] + [(f"{u}/x", "03-04-2020 10:00") for u in "abc"] + [("c/y", "04-04-2020 10:00"), ("c/z", None)]
+    spark.createDataFrame(mail, "join_key string, date_iso string").write.parquet(str(tmp_path / "mail_meta.parquet"))
+    spark.createDataFrame([("a/0", "2020-01-01T10:00:00Z")], "join_key string, date_iso string").write.parquet(str(tmp_path / "decision.parquet"))
+    spark.createDataFrame([(u, "UTC") for u in "abc"] + [("a", None)], "user_name string, tz_name string").write.parquet(str(tmp_path / "mailbox.parquet"))
+    got = {(r.side, r.join_key): r for r in p3_instants(spark, str(tmp_path)).collect()}
+    assert len(got) == len(mail) + 1
+    assert got["mail", "a/x"].instant_s == at(2020, 4, 3, 10) and got["mail", "b/x"].instant_s == at(2020, 3, 4, 10)
+    assert got["mail", "a/x"].instant_posterior > 0.9 and got["mail", "c/x"].instant_status == "ambiguous" and got["mail", "c/x"].instant_posterior == 0.5
+    assert got["mail", "c/y"].instant_s == at(2020, 4, 4, 10) and got["mail", "c/z"].instant_status == "missing"
+    counts = {(r.side, r.instant_status): r.n for r in p3_status_counts(spark, str(tmp_path)).collect()}
+    assert counts["mail", "ambiguous"] == 1 and counts["mail", "ok"] == 83

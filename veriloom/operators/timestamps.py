@@ -4,9 +4,13 @@ Every value is read under all formats that can hold it. Where more than one read
 of a short year), a per-source mixture over the readings is fitted by expectation-maximisation; the posterior chooses a
 reading, and a value whose best posterior stays under ``min_posterior`` is marked ``ambiguous`` instead of guessed.
 
+Values in the forms that have one reading only and state their own offset (ISO 8601 with offset, plain numbers of seconds or
+milliseconds) are read by native expressions and never reach Python, the zones or the mixtures. Only values of several
+readings meet the mixture of their source.
+
 Edge cases: null, empty and non-time texts get status ``missing`` / ``no_time``; a bare date ``date_only``; an impossible
 date or clock ``impossible``; a wall clock without known zone ``no_zone``; a wall clock that its zone shows twice or never
-``local_twice`` / ``local_never``. All of these have a null instant. A text longer than ``MAX_TEXT`` states no time.
+``local_twice`` / ``local_never``. All of these have a null instant. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -22,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TEXT = 200
-
 #: Offsets in minutes of the zone letters that count; any other letters name no zone.
 ZONE_LETTERS = {
     "UTC": 0, "UT": 0, "GMT": 0, "Z": 0,
@@ -154,8 +156,6 @@ def read(text: str | None, zone_name: str | None, weights: dict[str, float] | No
     text = text.strip()
     if not text:
         return None, "missing", None, None
-    if len(text) > MAX_TEXT:
-        return None, "no_time", None, None
     if m := _FAST.fullmatch(text):
         return read(text, zone_name, weights, min_posterior)
     if text[0] in "-0123456789" and (number := _number(text)):
@@ -292,31 +292,67 @@ def fit_mixtures(df: DataFrame, value: str, source: str, priors: dict[str, dict[
     return counts.groupBy("source").applyInPandas(typed, "source string, weights map<string,double>")
 
 
-def normalise_timestamps(df: DataFrame, value: str, source: str, zone: str, priors: dict[str, dict[str, float]] | None = None, min_posterior: float = 0.9) -> DataFrame:
+_ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.,][0-9]+)?)?(?:Z|([+-])([0-9]{2}):?([0-9]{2}))$"
+_SECONDS, _MILLIS = r"^([1-9][0-9]{8,9})(?:\.[0-9]+)?$", r"^([1-9][0-9]{12})$"
+
+
+def native_instants(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows of df that native expressions read, with the four result columns; the other rows of df)."""
+    v = F.col(value)
+    part = lambda k: F.regexp_extract(v, _ISO, k)
+    number = lambda k: F.when(part(k) != "", part(k).cast("int")).otherwise(F.lit(0))
+    y, mo, d, h, mi, s = (number(k) for k in range(1, 7))
+    minutes = number(8) * 60 + number(9)
+    dated = (y >= 1) & mo.between(1, 12)
+    fits = dated & (d >= 1) & (h <= 23) & (mi <= 59) & (s <= 59) & (number(9) <= 59) & (minutes <= 14 * 60)
+    last = F.when(dated, F.dayofmonth(F.last_day(F.make_date(y, mo, F.lit(1)))))
+    days = F.when(fits & (d <= last), F.unix_date(F.make_date(y, mo, d)).cast("long"))
+    iso = days * 86400 + h * 3600 + mi * 60 + s - F.when(part(7) == "-", -minutes).otherwise(minutes) * 60
+    seconds, millis = F.regexp_extract(v, _SECONDS, 1), F.regexp_extract(v, _MILLIS, 1)
+    form = F.when(v.rlike(_ISO), "iso").when(v.rlike(_SECONDS), "epoch_s").when(v.rlike(_MILLIS), "epoch_ms")
+    instant = F.when(form == "iso", iso).when(form == "epoch_s", seconds.cast("long")).when(form == "epoch_ms", F.floor(millis.cast("long") / 1000))
+    kept = [c for c in df.columns if c not in RESULTS]
+    marked = df.select(*kept).withColumn("instant_format", form)
+    read_ = marked.where("instant_format is not null").withColumn("instant_s", instant)
+    status = F.when(F.col("instant_s").isNull(), "impossible").otherwise("ok")
+    read_ = read_.select(*kept, "instant_s", status.alias("instant_status"), "instant_format", F.when(F.col("instant_s").isNotNull(), 1.0).alias("instant_posterior"))
+    return read_, marked.where("instant_format is null").drop("instant_format")
+
+
+#: Columns of the result.
+RESULTS = ["instant_s", "instant_status", "instant_format", "instant_posterior"]
+
+
+def normalise_timestamps(df: DataFrame, value: str, source: str, zone: str, priors: dict[str, dict[str, float]] | None = None, min_posterior: float = 0.9, zones: DataFrame | None = None) -> DataFrame:
     """df with ``instant_s`` (bigint seconds UTC, null if the value names none), ``instant_status``, ``instant_format`` and ``instant_posterior``.
 
     value: the column of texts; source: the column whose values share a mixture; zone: the column of the wall clock's
-    zone name (null: unknown). priors: see em(); None learns every order from the data alone. Columns of df with the
-    names of the results are replaced.
+    zone name (null: unknown). zones: a table (source, zone) that has it instead of df; its sources are unique, and only
+    the rows whose texts need it are joined with it. priors: see em(); None learns every order from the data alone.
+    Columns of df with the names of the results are replaced.
     """
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
     priors = priors or {}
-    mixtures = fit_mixtures(df, value, source, priors).withColumnsRenamed({"source": "__source", "weights": "__weights"})
-    new = ["instant_s", "instant_status", "instant_format", "instant_posterior"]
-    kept = [c for c in df.columns if c not in new]
-    joined = df.select(*kept).join(mixtures, F.col(source) == F.col("__source"), "left").drop("__source")
+    done, rest = native_instants(df, value)
+    kept = rest.columns
+    mixtures = fit_mixtures(rest, value, source, priors).withColumnsRenamed({"source": "__source", "weights": "__weights"})
+    if zones is not None:
+        rest = rest.join(zones.withColumnRenamed(source, "__zoned"), F.col(source) == F.col("__zoned"), "left").drop("__zoned")
     default = em({}, priors)
     schema = pa.schema([("instant_s", pa.int64()), ("instant_status", pa.string()), ("instant_format", pa.string()), ("instant_posterior", pa.float64())])
+    fields = [df.schema[c] for c in kept] + [StructField("instant_s", LongType()), StructField("instant_status", StringType()), StructField("instant_format", StringType()), StructField("instant_posterior", DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, zones = batch.column(value).to_pylist(), batch.column(zone).to_pylist()
-            weights: list = batch.column("__weights").to_pylist()
-            rows = [read(t, z, dict(w) if w else default, min_posterior) for t, z, w in zip(texts, zones, weights, strict=True)]
+            texts, names = batch.column(value).to_pylist(), batch.column(zone).to_pylist()
+            learnt = batch.column("__weights").to_pylist() if "__weights" in batch.schema.names else [None] * len(texts)
+            rows = [read(t, z, dict(w) if w else default, min_posterior) for t, z, w in zip(texts, names, learnt, strict=True)]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             arrays = [batch.column(c) for c in kept] + [pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=kept + new)
+            yield pa.RecordBatch.from_arrays(arrays, names=kept + RESULTS)
 
-    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
-
-    fields = [df.schema[c] for c in kept] + [StructField("instant_s", LongType()), StructField("instant_status", StringType()), StructField("instant_format", StringType()), StructField("instant_posterior", DoubleType())]
-    return joined.mapInArrow(run, StructType(fields))
+    several = _evidence(F.col(value)).isNotNull() & F.col(source).isNotNull()
+    single = rest.where(~F.coalesce(several, F.lit(False))).mapInArrow(run, StructType(fields))
+    mixed = rest.where(several).join(mixtures, F.col(source) == F.col("__source"), "left").drop("__source").mapInArrow(run, StructType(fields))
+    return done.unionByName(single).unionByName(mixed)

@@ -17,9 +17,8 @@ def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "mail_meta").select(F.lit("mail").alias("side"), "join_key", "date_iso")
     both = both.unionByName(table(spark, sf_dir, "decision").select(F.lit("decision").alias("side"), "join_key", "date_iso"))
     both = both.withColumn("source", F.split_part("join_key", F.lit("/"), F.lit(1)))
-    zones = table(spark, sf_dir, "mailbox").groupBy("user_name").agg(F.max("tz_name").alias("tz_name"))
-    both = both.join(zones, both["source"] == zones["user_name"], "left").drop("user_name")
-    return normalise_timestamps(both, "date_iso", "source", "tz_name", STATED)
+    zones = table(spark, sf_dir, "mailbox").where("user_name is not null").groupBy(F.col("user_name").alias("source")).agg(F.max("tz_name").alias("tz_name"))
+    return normalise_timestamps(both, "date_iso", "source", "tz_name", STATED, zones=zones)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +37,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.where((F.col("m1") - F.col("d0") >= LEAST_DIFFERENCE_S) | (F.col("d1") - F.col("m0") >= LEAST_DIFFERENCE_S)).select("join_key")
 
 
+def p3_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(side, join_key, date_iso, instant_s, instant_status, instant_format, instant_posterior) of every row of mail_meta and decision."""
+    return instants(spark, sf_dir).drop("source")
+
+
 def p3_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of each table have which status and format."""
     return instants(spark, sf_dir).groupBy("side", "instant_status", "instant_format").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_status_counts": p3_status_counts}
+QUERIES = {"p3_found": p3_found, "p3_instants": p3_instants, "p3_status_counts": p3_status_counts}
