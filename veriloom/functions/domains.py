@@ -22,7 +22,12 @@ RESERVED = ["example", "test", "invalid", "co.example", "co.test", "co.invalid"]
 #: Mailbox providers whose addresses belong to persons, not to the domain.
 WEBMAIL = ["gmail.com", "googlemail.com", "yahoo.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "icloud.com", "aol.com", "gmx.de", "gmx.net", "web.de", "proton.me", "mail.ru", "yandex.ru"]
 FILE_ENDINGS = ["png", "jpg", "jpeg", "gif", "svg", "webp", "css", "js", "ico", "pdf", "zip", "mp4", "woff", "woff2", "json", "xml"]
-HINTS = ["contact", "about", "imprint", "impressum", "support", "help", "press", "team", "email", "kontakt"]
+#: What a link's path or query holds that may lead to addresses, and the segments that count once more.
+HINTS = [
+    "contact", "support", "help", "about", "legal", "privacy", "impressum", "kontakt", "customer", "service", "connect", "reach", "team", "career", "press", "investor",
+    "sitemap", "site-map", "abuse", "phishing", "foot", "get-in", "inquiry", "inquiries", "ayuda", "aide", "contacto", "contato", "kund", "kunden", "fraud",
+]
+STRONG_SEGMENT = r"/(contact|support|help|legal|impress|privacy|kontakt|mail)(/|$|\.html?)"
 
 #: Most suffixes that are tested as one pattern; a longer list is tested label by label.
 PATTERN_SUFFIXES = 500
@@ -91,10 +96,13 @@ def visit_key(url: Column) -> Column:
 
 
 def link_priority(url: Column, hints: Sequence[str] = HINTS) -> Column:
-    """2 for each hint within path and query, 1 more for a path that is only a hint."""
-    rest = F.lower(F.regexp_replace(F.trim(url), r"^(?i:[a-z][a-z0-9+.-]*:)?//[^/?#]*", ""))
+    """2 for each hint within ``path?query``, 1 more where that has a strong segment."""
+    rest = F.regexp_replace(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*", "")
+    rest = F.regexp_replace(rest, "#.*$", "")
+    path, asked = F.substring_index(rest, "?", 1), F.when(F.contains(rest, F.lit("?")), F.regexp_replace(rest, r"^[^?]*\?", "")).otherwise(F.lit(""))
+    rest = F.concat(F.when(path == "", F.lit("/")).otherwise(path), F.lit("?"), asked)
     hits = F.size(F.filter(_list(hints), lambda x: F.contains(rest, x)))
-    strong = rest.rlike("^/(?:" + "|".join(hints) + r")/?(?:[?#].*)?$")
+    strong = rest.rlike(STRONG_SEGMENT)
     return F.when(url.isNotNull(), (hits * 2 + F.when(strong, 1).otherwise(0)).cast("double"))
 
 

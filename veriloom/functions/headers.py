@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from email.header import decode_header as _decode
 from email.header import make_header
 
@@ -96,9 +97,14 @@ def user_of_path(path: Column, folder: str = "field") -> Column:
     return F.when(named != "", named).when(F.size(parts) >= 2, F.element_at(parts, F.when(F.size(parts) >= 2, -2).otherwise(-1)))
 
 
-def is_reply_subject(subject: Column, anchored: bool = False) -> Column:
+#: Marks of subjects that are skipped as replies and forwards.
+REPLY_MARKS = ["re:", "fwd:", "fw:", "回复:", "转发:", "reply:"]
+#: Marks of other languages, for callers that want them too.
+MORE_MARKS = ["aw:", "wg:", "tr:", "sv:", "vs:", "rv:", "enc:"]
+
+
+def is_reply_subject(subject: Column, anchored: bool = False, marks: Sequence[str] = REPLY_MARKS) -> Column:
     """Whether a subject carries a reply or forward mark: anywhere in it, or at its beginning only."""
-    marks = ["re:", "fw:", "fwd:", "aw:", "wg:", "tr:"]
     low = F.lower(F.coalesce(subject, F.lit("")))
     return F.exists(F.array(*[F.lit(m) for m in marks]), (lambda m: F.startswith(F.ltrim(low), m)) if anchored else (lambda m: F.contains(low, m)))
 

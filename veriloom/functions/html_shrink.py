@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Attributes that say something about a page's meaning.
-KEPT = frozenset(["href", "src", "alt", "title", "name", "id", "action"])
+#: Attributes that say something about a page's meaning.
+KEPT = frozenset(["src", "href", "alt", "title", "name", "id", "class"])
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 

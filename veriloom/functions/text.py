@@ -19,7 +19,8 @@ HIDDEN = "​‌‍⁠﻿­‎‏‪‫‬‭‮⁦⁧⁨⁩"
 REPLY_MARKERS = [
     r"-{2,}\s*Original Message\s*-{2,}", r"-{2,}\s*Forwarded [Mm]essage\s*-{2,}", r"Begin forwarded message:", r"(?m)^On .{5,200} wrote:$", r"(?m)^From: .{2,200}$\n^(?:Sent|Date): ", r"(?m)^_{10,}$",
 ]
-SENSITIVE = "account verify password urgent bank login security suspended confirm update invoice payment click limited".split()
+#: Words whose share is a feature of a page, looked for anywhere in its text.
+SENSITIVE = ["user", "pass", "password", "credit", "card", "login", "name", "account", "id", "submit", "alert", "warning", "sign", "access"]
 
 
 # ---------------------------------------------------------------- native expressions

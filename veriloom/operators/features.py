@@ -17,8 +17,9 @@ from veriloom.functions.text import bad_word_count, css_length, has_script, sens
 
 #: Headers that a complete mail has.
 USUAL_HEADERS = ["from", "to", "subject", "date", "message-id", "mime-version", "content-type", "received", "return-path", "reply-to"]
-BAD_SUBJECT = ["verify", "bank", "urgent", "password", "suspend", "invoice", "winner"]
-BAD_BODY = ["click", "account", "login", "confirm", "password", "verify", "limited", "security"]
+#: Words that are counted in subjects and in bodies.
+BAD_SUBJECT = ["verify", "bank", "debit", "payment", "suspend"]
+BAD_BODY = ["link", "click", "confirm", "user", "customer", "client", "suspend", "restrict", "verify", "payment", "protect"]
 
 
 def member_ratio(values: Column, wanted: Column) -> Column:

@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters and what looks like them.
-SIMILAR = {"a": "а", "c": "с", "e": "е", "i": "і", "o": "о", "p": "р", "s": "ѕ", "x": "х", "y": "у", "l": "1", "b": "Ь", "d": "ԁ", "h": "һ", "j": "ј", "w": "ԝ", "g": "ɡ"}
+SIMILAR = {
+    "-": "˗", "9": "৭", "8": "Ȣ", "7": "𝟕", "6": "б", "5": "Ƽ", "4": "Ꮞ", "3": "Ʒ", "2": "ᒿ", "1": "l", "0": "O", "'": "`",
+    "a": "ɑ", "b": "Ь", "c": "ϲ", "d": "ԁ", "e": "е", "f": "𝚏", "g": "ɡ", "h": "հ", "i": "і", "j": "ϳ", "k": "𝒌", "l": "ⅼ", "m": "ｍ",
+    "n": "ո", "o": "о", "p": "р", "q": "ԛ", "r": "ⲅ", "s": "ѕ", "t": "𝚝", "u": "ս", "v": "ѵ", "w": "ԝ", "x": "×", "y": "у", "z": "ᴢ",
+}
 DIACRITICS = {"a": "á", "c": "ć", "e": "é", "i": "í", "n": "ñ", "o": "ó", "s": "ś", "u": "ú", "y": "ý", "z": "ź"}
 
 
@@ -39,7 +43,7 @@ def swap_chars(t: Column, k: Column) -> Column:
 def similar_char(t: Column, k: Column) -> Column:
     c = _at(t, k)
     table = F.create_map(*[F.lit(x) for p in SIMILAR.items() for x in p])
-    return F.concat(_left(t, k), F.coalesce(F.try_element_at(table, F.lower(c)), c), _rest(t, k + 1))
+    return F.concat(_left(t, k), F.coalesce(F.try_element_at(table, c), c), _rest(t, k + 1))
 
 
 def insert_invisible(t: Column, k: Column, char: str = "​") -> Column:

@@ -15,6 +15,7 @@ from veriloom.operators import allow as A
 from veriloom.operators import evaluate as E
 from veriloom.operators import matching as M
 from veriloom.operators import perturb as P
+from veriloom.operators.features import BAD_BODY, BAD_SUBJECT
 from veriloom.operators.recognise import entity_scores, spans_of_tags
 from veriloom.operators.verdict import verdict
 from veriloom.session import table
@@ -229,7 +230,7 @@ def official_states(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("reply_subjects", """
-    select contains(l, 're:') or contains(l, 'fw:') or contains(l, 'fwd:') or contains(l, 'aw:') or contains(l, 'wg:') or contains(l, 'tr:') as skipped, count(*) as n
+    select contains(l, 're:') or contains(l, 'fwd:') or contains(l, 'fw:') or contains(l, '回复:') or contains(l, '转发:') or contains(l, 'reply:') as skipped, count(*) as n
     from (select lower(coalesce(subject, '')) as l from req2_llm_classified) group by 1""")
 def reply_subjects(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "req2_llm_classified").groupBy(H.is_reply_subject(F.col("subject")).alias("skipped")).agg(F.count(F.lit(1)).alias("n"))
@@ -285,8 +286,11 @@ def site_roots(s: SparkSession, d: str) -> DataFrame:
 
 @query("link_topk", f"""
     select doc_id, url, rn from (select doc_id, url, row_number() over (partition by doc_id order by p desc, url) as rn
-      from (select doc_id, url, 2 * (list_sum(list_transform({D.HINTS!r}, lambda h: case when contains(lower(regexp_replace(url, '^https?://[^/?#]*', '')), h) then 1 else 0 end))) as p
-        from (select distinct doc_id, unnest(regexp_extract_all(text, '{_URL_SQL}')) as url from documents where text is not null))) where rn <= 6""")
+      from (select doc_id, url, 2 * list_sum(list_transform(['contact', 'support', 'help', 'about', 'legal', 'privacy', 'impressum', 'kontakt', 'customer', 'service', 'connect', 'reach', 'team', 'career', 'press', 'investor',
+          'sitemap', 'site-map', 'abuse', 'phishing', 'foot', 'get-in', 'inquiry', 'inquiries', 'ayuda', 'aide', 'contacto', 'contato', 'kund', 'kunden', 'fraud'], lambda h: case when contains(pq, h) then 1 else 0 end))
+          + case when regexp_matches(pq, '/(contact|support|help|legal|impress|privacy|kontakt|mail)(/|$|\\.html?)') then 1 else 0 end as p
+        from (select doc_id, url, case when regexp_extract(r, '^[^?#]*') = '' then '/' else regexp_extract(r, '^[^?#]*') end || '?' || regexp_extract(r, '^[^?#]*[?]([^#]*)', 1) as pq
+        from (select doc_id, url, regexp_replace(lower(url), '^https?://[^/?#]*', '') as r from (select distinct doc_id, unnest(regexp_extract_all(text, '{_URL_SQL}')) as url from documents where text is not null))))) where rn <= 6""")
 def link_topk(s: SparkSession, d: str) -> DataFrame:
     """The six most promising links of each text."""
     u = table(s, d, "documents").select("doc_id", F.explode(D.urls_in(F.col("text"))).alias("url"))
@@ -295,11 +299,11 @@ def link_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("url_argmax", f"""
-    select doc_id, arg_max(url, (length(url), -pos)) as url, max(length(url))::double as score from (select doc_id, unnest(us) as url, generate_subscripts(us, 1) as pos from (select doc_id, list_distinct_ordered as us from (select doc_id, regexp_extract_all(text, '{_URL_SQL}') as list_distinct_ordered from documents where text is not null))) group by 1""")
+    select doc_id, arg_max(url, (length(url), -pos)) as url, coalesce(max(length(url)), 0)::double as score from (select d.doc_id, u.url, u.pos from documents d left join (select doc_id, unnest(us) as url, generate_subscripts(us, 1) as pos from (select doc_id, list_distinct_ordered as us from (select doc_id, regexp_extract_all(text, '{_URL_SQL}') as list_distinct_ordered from documents where text is not null))) u on d.doc_id = u.doc_id where d.text is not null) group by 1""")
 def url_argmax(s: SparkSession, d: str) -> DataFrame:
-    """The longest URL of each text, the first among equally long ones."""
+    """The longest URL of each text, the first among equally long ones; a text without one has a row with score 0."""
     all_urls = F.regexp_extract_all("text", F.lit(f"({D.URL})"), F.lit(1))
-    u = table(s, d, "documents").select("doc_id", F.posexplode(all_urls).alias("pos", "url")).withColumn("score", F.length("url").cast("double"))
+    u = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode_outer(all_urls).alias("pos", "url")).withColumn("score", F.coalesce(F.length("url"), F.lit(0)).cast("double"))
     return E.best_per(u, "doc_id", "score", "pos", ["url"]).select("doc_id", "url", "score")
 
 
@@ -316,13 +320,17 @@ def reply_cut(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", F.length(cut).cast("long").alias("n"))
 
 
-@query("bad_words", "select doc_id, (" + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in ("click", "account", "verify", "password")) + ") as n from documents where text is not null")
+@query("bad_words", """
+    select doc_id, list_sum(list_transform(['link', 'click', 'confirm', 'user', 'customer', 'client', 'suspend', 'restrict', 'verify', 'payment', 'protect'], lambda w: (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w)))::bigint as body,
+      list_sum(list_transform(['verify', 'bank', 'debit', 'payment', 'suspend'], lambda w: (length(lower(coalesce(subject, ''))) - length(replace(lower(coalesce(subject, '')), w, ''))) // length(w)))::bigint as subject from documents where text is not null""")
 def bad_words(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text is not null").select("doc_id", T.bad_word_count(F.col("text"), ["click", "account", "verify", "password"]).cast("long").alias("n"))
+    """Words of the two lists in body and subject."""
+    subject = T.bad_word_count(F.coalesce("subject", F.lit("")), BAD_SUBJECT).cast("long")
+    return table(s, d, "documents").where("text is not null").select("doc_id", T.bad_word_count(F.col("text"), BAD_BODY).cast("long").alias("body"), subject.alias("subject"))
 
 
-@query("sensitive_words", f"""
-    select doc_id, round(list_sum(list_transform({T.SENSITIVE!r}, lambda w: case when contains(lower(text), w) then 1 else 0 end)) / {len(T.SENSITIVE)}, 9) as ratio from documents where text is not null""")
+@query("sensitive_words", """
+    select doc_id, round(list_sum(list_transform(['user', 'pass', 'password', 'credit', 'card', 'login', 'name', 'account', 'id', 'submit', 'alert', 'warning', 'sign', 'access'], lambda w: case when contains(lower(text), w) then 1 else 0 end)) / 14, 9) as ratio from documents where text is not null""")
 def sensitive_words(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", F.round(T.sensitive_ratio(F.col("text")), 9).alias("ratio"))
 
