@@ -41,8 +41,8 @@ NEAR, WINDOW, SMOOTH = 6, 9, 0.05
 COHERENT, STRUNG = 3.5, 0.64
 #: Pairs and words that can have more than 1/HOT of all counts: so many at most are broadcast.
 HOT = 200_000
-#: Words that are counted at once; a longer text is counted by itself.
-SLICE = 1 << 20
+#: Words that are counted at once, few enough for a processor's cache; a longer text is counted by itself.
+SLICE = 1 << 15
 
 _TOKEN = regex.compile(r"https?://\S+|www\.\S+|#[\p{L}\p{M}\p{N}_]+|[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{M}\p{N}]+(?:[-'’][\p{L}\p{M}\p{N}]+)*")
 _UNKNOWN = -128
@@ -73,9 +73,10 @@ def words_of(text: str | None) -> tuple[str, bytes]:
         damaged, fixed = repair(text)
         text = tidy(fixed if damaged else text)
     parts = [p for chunk in text.lower().split() if (p := _of_chunk(chunk) if len(chunk) <= 80 else _of_chunk.__wrapped__(chunk))]
-    sizes = [p.count(" ") for p in parts]
-    shared = b"\x01" * len(sizes) if all(n == 1 for n in sizes) else b"".join(bytes([min(n, 255)]) * n for n in sizes)
-    return "".join(parts), shared
+    words = "".join(parts)
+    if words.count(" ") == len(parts):
+        return words, b"\x01" * len(parts)
+    return words, b"".join(bytes([min(n, 255)]) * n for n in (p.count(" ") for p in parts))
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,21 +113,20 @@ def count_pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     same = doc[:-1] == doc[1:]
     a, b, d = h[:-1][same], h[1:][same], doc[:-1][same].astype(np.uint64)
     pair = _mix(a, b)
-    own, back = np.unique(_mix(pair, d), return_inverse=True)
+    # near is the same in both orders: one sorted list of the pairs of each text, whichever word comes first
+    unordered = lambda x, y, e: _mix(_mix(np.minimum(x, y), np.maximum(x, y)), e)
+    own, place = np.unique(unordered(a, b, d), return_inverse=True)
     near = np.zeros(len(own), np.int64)
     for k in range(2, NEAR + 1):
         if len(h) <= k or not len(own):
             break
         ok = doc[:-k] == doc[k:]
-        x, y, e = h[:-k][ok], h[k:][ok], doc[k:][ok].astype(np.uint64)
-        for q, keep in ((_mix(_mix(x, y), e), None), (_mix(_mix(y, x), e), x != y)):
-            q = q if keep is None else q[keep]
-            at = np.minimum(np.searchsorted(own, q), len(own) - 1)
-            near += np.bincount(at[own[at] == q], minlength=len(own))
-    once = np.zeros(len(pair), np.int64)  # the near count of a text's pair, at one of its places
-    first = np.full(len(own), -1, np.int64)
-    first[back[::-1]] = np.arange(len(pair) - 1, -1, -1)
-    once[first] = near
+        q = unordered(h[:-k][ok], h[k:][ok], doc[k:][ok].astype(np.uint64))
+        at = np.minimum(np.searchsorted(own, q), len(own) - 1)
+        near += np.bincount(at[own[at] == q], minlength=len(own))
+    once = np.zeros(len(pair), np.int64)  # the near count of a text's pair, at the first of its places
+    first = np.unique(_mix(pair, d), return_index=True)[1]
+    once[first] = near[place[first]]
     keys, at, back = np.unique(pair, return_index=True, return_inverse=True)
     times = np.bincount(back, minlength=len(keys))
     return keys, a[at], b[at], times, np.bincount(back, weights=once, minlength=len(keys)).astype(np.int64)
@@ -138,10 +138,15 @@ def _counted(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, ends = _hashes(batch.column("words"))
+            parts = []
             for x, y in _slices(ends):
                 doc = np.repeat(np.arange(y - x), np.diff(ends[x : y + 1]))
-                got = count_pairs(h[ends[x] : ends[y]], doc)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)) for g in got], names=["pair", "w1", "w2", "adjacent", "near"])
+                parts.append(count_pairs(h[ends[x] : ends[y]], doc))
+            if parts:
+                keys, w1, w2, adjacent, near = (np.concatenate(c) for c in zip(*parts, strict=True))
+                keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+                summed = [np.bincount(back, weights=c, minlength=len(keys)).astype(np.int64) for c in (adjacent, near)]
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)) for g in (keys, w1[at], w2[at], *summed)], names=["pair", "w1", "w2", "adjacent", "near"])
 
     parts = words.select("words").where("n_words > 1").mapInArrow(run, "pair bigint, w1 bigint, w2 bigint, adjacent bigint, near bigint")
     return parts.groupBy("pair").agg(F.first("w1").alias("w1"), F.first("w2").alias("w2"), F.sum("adjacent").alias("adjacent"), F.sum("near").alias("near"))
