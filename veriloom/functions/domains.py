@@ -261,3 +261,8 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 def is_ip_host(host: Column) -> Column:
     return F.coalesce(host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$|^\[?[0-9a-fA-F]*:[0-9a-fA-F:]+\]?$"), F.lit(False))
+
+
+def rejects_grants(apex: Column, org: Column) -> Column:
+    """Whether an apex ends in grants.org although the organisation's name says nothing of grants."""
+    return F.coalesce(F.endswith(F.lower(apex), F.lit("grants.org")) & ~F.contains(F.lower(F.coalesce(org, F.lit(""))), F.lit("grant")), F.lit(False))

@@ -136,3 +136,9 @@ def is_real_sender(address: Column) -> Column:
 def valid_record(subject: Column, body: Column, least: int = 80, most: int = 6000) -> Column:
     """A mail with a subject and a body of a usual length."""
     return (F.coalesce(F.trim(subject), F.lit("")) != "") & F.coalesce(F.length(body).between(least, most), F.lit(False))
+
+
+def listed_headers(names: Column, prefixes: Sequence[str]) -> Column:
+    """Those of an array of header names that begin, in small letters, with one of the listed prefixes."""
+    low = F.array(*[F.lit(p.lower()) for p in prefixes]) if prefixes else F.array().cast("array<string>")
+    return F.filter(names, lambda h: F.exists(low, lambda p: F.startswith(F.lower(h), p)))

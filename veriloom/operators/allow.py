@@ -54,10 +54,36 @@ def running_totals(mails: DataFrame, order: list[str], values: list[str], part:
     return out.select(*mails.columns, *[(F.col(f"_b_{v}") + F.col(f"_w_{v}")).alias(f"running_{v}") for v in values])
 
 
+#: Parts of a group of which the first rows are found before those of the group.
+SALTS = 64
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "seq", most: int | None = None) -> DataFrame:
+    """rows with their number (from 0) within their group, at most so many each if asked; ties in any order.
+
+    No task holds a whole group. With ``most`` each of SALTS parts of a group keeps its first ones, and the group's come
+    from those. Without, the rows are range-sorted once, so a large group lies in several partitions one after the other,
+    and each partition's count of a group is added to the numbers in the later ones.
+    """
+    if most is not None:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        some = salted.withColumn(name, F.row_number().over(W.partitionBy(*group, "_salt").orderBy(*order))).where(F.col(name) <= most).drop("_salt")
+        return some.withColumn(name, (F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1).cast("long")).where(F.col(name) < most)
+    path = shared_path(rows.sparkSession, "numbered")
+    rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = rows.sparkSession.read.parquet(path)
+    counts = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_p"), "_before")
+    inside = ranged.withColumn(name, (F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order)) - 1).cast("long"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    joined = inside.join(before, [F.col("_part") == F.col("_p"), *same])
+    return joined.withColumn(name, F.col(name) + F.col("_before")).select(*rows.columns, name)
+
+
 def per_user_sequence(mails: DataFrame, user: str, order: list[str], most: int | None = None) -> DataFrame:
     """mails with ``seq``, their number (from 0) within their user, at most so many each if asked."""
-    out = mails.withColumn("seq", (F.row_number().over(W.partitionBy(user).orderBy(*order)) - 1).cast("long"))
-    return out if most is None else out.where(F.col("seq") < most)
+    return numbered(mails, [user], order, "seq", most)
 
 
 def save_allow(allow: DataFrame, path: str) -> None:

@@ -62,3 +62,30 @@ def top_links(links: DataFrame, source: str, url: str, priority: str, hop: str)
 
     n = F.row_number().over(W.partitionBy(source).orderBy(F.desc(priority), url))
     return links.withColumn("rn", n).where(F.col("rn") <= F.when(F.col(hop) == 0, 15).otherwise(6))
+
+
+def report_rate(results: DataFrame, flagged: Column, seconds: Column) -> DataFrame:
+    """(rate, median_seconds): the share of flagged results and the median of their run times."""
+    return results.agg(F.avg(F.coalesce(flagged, F.lit(False)).cast("int")).alias("rate"), F.median(seconds).alias("median_seconds"))
+
+
+def top_tags(rows: DataFrame, tag: str, k: int = 5) -> DataFrame:
+    """(tag, n): the k most frequent values, ties by name."""
+    return rows.where(F.col(tag).isNotNull()).groupBy(tag).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), tag).limit(k)
+
+
+def match_rates(rows: DataFrame, kind: str, score: Column, threshold: float = 0.78) -> DataFrame:
+    """(kind, rate): the share of each kind of change after which the score is still above the threshold."""
+    return rows.groupBy(kind).agg(F.avg((score > threshold).cast("int")).alias("rate"))
+
+
+def before_after(rows: DataFrame, kind: str, before: Column, after: Column) -> DataFrame:
+    """(kind, n, rate_before, rate_after): how often an entity was found as it stood and after its change; nulls count as not found."""
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    return rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), rate(before).alias("rate_before"), rate(after).alias("rate_after"))
+
+
+def most_important(model, names: list[str], k: int = 3) -> list[tuple[str, float]]:
+    """The k features a fitted tree model relies on most, largest first, ties by name."""
+    weights = model.featureImportances.toArray().tolist()
+    return sorted(zip(names, weights, strict=True), key=lambda x: (-x[1], x[0]))[:k]

@@ -187,6 +187,17 @@ def cluster_first(strings: list[str], threshold: float = 0.5) -> list[list[str]]
     return out
 
 
+def cluster_close(strings: list[str], threshold: float = 0.85) -> list[list[str]]:
+    """Pairs in order: each string takes the one closest to it among those that follow, if it is similar enough."""
+    left, out = list(strings), []
+    while left:
+        s = left.pop(0)
+        close = difflib.get_close_matches(s, left, n=1, cutoff=threshold)
+        left = [x for x in left if x not in close]
+        out.append([s, *close])
+    return out
+
+
 _CLUSTERS = ArrayType(ArrayType(StringType()))
 
 
@@ -200,6 +211,11 @@ def cluster_strings_by_first(s: pd.Series) -> pd.Series:
     return s.map(lambda a: None if a is None else cluster_first([x for x in a if x is not None]))
 
 
+@F.pandas_udf(_CLUSTERS)
+def cluster_strings_close(s: pd.Series) -> pd.Series:
+    return s.map(lambda a: None if a is None else cluster_close([x for x in a if x is not None]))
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts from their matching blocks, 0 to 1; null if either is null."""

@@ -12,6 +12,7 @@ from veriloom.functions import domains as D
 from veriloom.functions import text as T
 from veriloom.operators import features as X
 from veriloom.operators import matching as M
+from veriloom.operators.detect import decide
 from veriloom.operators.expand import crawl
 from veriloom.operators.recognise import recognise
 from veriloom.session import shared_path, table
@@ -70,6 +71,13 @@ def recognised(s: SparkSession, d: str) -> DataFrame:
     return recognise(table(s, d, "documents").select("doc_id", "text"), F.col("text"), names).select("doc_id", "identities", F.size("actions").alias("n_actions"), "relations", "cta_urls")
 
 
+def mail_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """Every document, parsed as a message, to its verdict: gates, recognition, matching, official domains, decision."""
+    m = parse_messages(raw_mails(s, d))
+    out = decide(m.select("path", "sender_name", "sender_address", "to_addresses", "reply_to", "subject", "body_text"), table(s, d, "kb"), suffixes=D.RESERVED)
+    return out.select("path", "verdict", "status", "matched", F.size("actions").alias("n_actions"))
+
+
 def pages(s: SparkSession, d: str) -> DataFrame:
     """(url, html): a small web made of the knowledge base, each brand's site linking to its contact page and the next brand."""
     from pyspark.sql import Window as W
@@ -129,6 +137,7 @@ QUERIES = {
     "cluster_names": cluster_names,
     "claimed_brands": claimed_brands,
     "recognised": recognised,
+    "mail_verdicts": mail_verdicts,
     "page_features": page_features,
     "crawl_frontier": crawl_frontier,
     "stream_first_contact": stream_first_contact,

@@ -434,6 +434,38 @@ def verdict_table(s: SparkSession, d: str) -> DataFrame:
     return e.withColumn("v", v).select("event_id", "v.status", "v.verdict")
 
 
+@query("claim_verdicts", """
+    with sld as (select brand, list_filter(list_transform(domains, lambda x: regexp_extract(lower(x), '([a-z0-9-]+)[.](co[.])?(example|test|invalid)$', 1)), lambda x: x <> '') as known, len(domains) as n from kb),
+      claims as (select distinct join_key, claimed_identity, sender from decision), j as (select c.*, k.brand, k.known, coalesce(k.n, 0) as n, regexp_extract(lower(trim(regexp_replace(sender, '^.*@', ''))), '([a-z0-9-]+)[.](co[.])?(example|test|invalid)$', 1) as own from claims c left join sld k on c.claimed_identity = k.brand)
+    select join_key, claimed_identity, sender, case when coalesce(trim(claimed_identity), '') = '' then 'No Prediction' when n > 0 and coalesce(list_contains(known, own), false) then 'Consistent' when n > 0 then brand else 'No Matched Brand' end as status,
+      coalesce(trim(claimed_identity), '') <> '' and n > 0 and not coalesce(list_contains(known, own), false) as verdict from j""")
+def claim_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """The decision over every claim: the named brand's official domains against the sender's, by the domain overlap test."""
+    claims = table(s, d, "decision").select("join_key", "claimed_identity", "sender").distinct()
+    kb = table(s, d, "kb").select(F.col("brand").alias("claimed_identity"), F.array("brand").alias("brands"), F.col("domains").alias("official"))
+    rows = claims.join(kb, "claimed_identity", "left")
+    none = F.array().cast("array<string>")
+    sender = F.when(F.contains("sender", F.lit("@")), F.col("sender")).otherwise(F.concat(F.lit("http://"), F.trim("sender")))  # an address or a domain
+    ids = F.when(F.trim(F.coalesce("claimed_identity", F.lit(""))) != "", F.array("claimed_identity")).otherwise(none)
+    v = verdict(ids, none, none, D.domain_set(F.array(sender), D.RESERVED), none, F.coalesce("official", none), F.coalesce("brands", none), F.lit(None).cast("string"), check_action=False, suffixes=D.RESERVED)
+    return rows.withColumn("v", v).select("join_key", "claimed_identity", "sender", "v.status", "v.verdict")
+
+
+@query("report_rate", "select avg(case when event_type = 'error' then 1 else 0 end)::double as rate, round(median(value), 9) as median_seconds from events")
+def report_rate(s: SparkSession, d: str) -> DataFrame:
+    return E.report_rate(table(s, d, "events"), F.col("event_type") == "error", F.col("value")).select("rate", F.round("median_seconds", 9).alias("median_seconds"))
+
+
+@query("top_tags", "select event_type, count(*) as n from events where event_type is not null group by 1 order by n desc, 1 limit 5")
+def top_tags(s: SparkSession, d: str) -> DataFrame:
+    return E.top_tags(table(s, d, "events"), "event_type")
+
+
+@query("match_rates", "select event_type, round(avg(case when value / 100 > 0.78 then 1 else 0 end), 9) as rate from events group by 1")
+def match_rates(s: SparkSession, d: str) -> DataFrame:
+    return E.match_rates(table(s, d, "events"), "event_type", F.col("value") / 100).select("event_type", F.round("rate", 9).alias("rate"))
+
+
 @query("tag_spans", """
     select user_id, min(event_id) as "start", max(event_id) as "end", any_value(l) as label from (select *, sum(b) over (partition by user_id order by event_id) as run from (select *, case when l is not null and (p is null or p <> l) then 1 else 0 end as b
       from (select *, lag(l) over (partition by user_id order by event_id) as p from (select event_id, user_id, case when event_type in ('click', 'view', 'error') then event_type end as l from events)))) where l is not null group by user_id, run""")

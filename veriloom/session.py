@@ -32,12 +32,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoint() and intermediate tables.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that setting always wins. Only where it is unset, as
-    in tests on one machine, a temporary folder is made.
+    in tests on one machine, a temporary folder is made; on a cluster that is an error, as no folder would be shared.
     """
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    master = spark.sparkContext.master
+    if not conf and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = conf or tempfile.mkdtemp(prefix="veriloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()

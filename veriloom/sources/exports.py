@@ -8,10 +8,11 @@ from email.message import EmailMessage
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from veriloom.operators.allow import numbered
+
 
 def mail_text(frm: str | None, to: str | None, subject: str | None, date: str | None, body: str | None) -> str:
     """A message as text; line ends within headers become spaces, so that no value can add a header."""
@@ -30,9 +31,7 @@ def build_eml(frm: pd.Series, to: pd.Series, subject: pd.Series, date: pd.Series
 
 def materialise(rows: DataFrame, user: str = "user", key: str = "file", time: str = "epoch") -> DataFrame:
     """(join_key ``user/seq.eml``, eml, epoch) of labelled rows; undated ones keep their order as their time."""
-    order = W.partitionBy(user).orderBy(key)
-    seq = F.row_number().over(order) - 1
-    return rows.withColumn("seq", seq).select(
+    return numbered(rows, [user], [key]).select(
         F.concat(F.col(user), F.lit("/"), F.col("seq").cast("string"), F.lit(".eml")).alias("join_key"), F.col(user).alias("user"),
         build_eml("sender", "receiver", "subject", "date", "body").alias("eml"), F.coalesce(F.col(time), F.col("seq").cast("double")).alias("epoch"),
     )

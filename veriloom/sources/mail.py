@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -14,14 +15,16 @@ from datetime import timezone
 from email.message import Message
 from email.utils import getaddresses, parsedate_to_datetime
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from veriloom.functions.domains import SUFFIXES, registrable, sender_key
 from veriloom.functions.headers import decode_words
+from veriloom.operators.allow import numbered
 from veriloom.schema import ADDIN, MESSAGE
 
 MAIL_ENDINGS, CONTAINER_ENDINGS = (".eml", ".txt"), (".mbox",)
@@ -226,20 +229,49 @@ def parse_addin(requests: DataFrame, column: str) -> DataFrame:
     )
 
 
-def split_concatenated_json(text: Column) -> Column:
-    """JSON objects written one after another, as an array of texts."""
-    return F.filter(F.split(F.regexp_replace(text, r"\}\s*\{", "}\x1e{"), "\x1e"), lambda x: F.trim(x) != "")
+@F.pandas_udf(ArrayType(StringType()))
+def split_concatenated_json(s: pd.Series) -> pd.Series:
+    """JSON objects written one after another, as an array of texts; braces within strings don't count. What is no JSON ends
+    the list as it stands."""
+    decoder = json.JSONDecoder()
 
+    def cut(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        out, at = [], 0
+        while (m := re.compile(r"\S").search(text, at)) is not None:
+            try:
+                end = decoder.raw_decode(text, m.start())[1]
+            except ValueError:
+                end = len(text)
+            out.append(text[m.start() : end].rstrip())
+            at = end
+        return out
+
+    return s.map(cut)
 
-def read_corpus_csv(spark: SparkSession, path: str, most_per_user: int | None = None) -> DataFrame:
-    """(file, user, message) of a CSV dump of a corpus, inbox folders only, at most so many mails per user if asked."""
+
+def read_corpus_csv(spark: SparkSession, path: str, most_per_user: int | None = None, most: int | None = None) -> DataFrame:
+    """(file, user, message) of a CSV dump of a corpus, inbox folders only, at most so many mails per user, and in all, if asked."""
     rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
     rows = rows.where(F.col("file").rlike("(?i)/inbox/")).withColumn("user", F.substring_index("file", "/", 1))
     if most_per_user is not None:
-        from pyspark.sql import Window as W
+        rows = numbered(rows, ["user"], ["file"], "seq", most_per_user)
+    return rows if most is None else rows.limit(most)
+
 
-        rows = rows.withColumn("seq", F.row_number().over(W.partitionBy("user").orderBy("file")) - 1).where(F.col("seq") < most_per_user)
-    return rows
+def sample_bodies(rows: DataFrame, body: str, key: str, n: int, seed: int = 0, words: int = 10) -> DataFrame:
+    """n rows with bodies of at least so many words, the same ones for a seed whatever the partitions."""
+    fit = rows.where(F.size(F.filter(F.split(F.col(body), r"\s+"), lambda w: w != "")) >= words)
+    return fit.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def read_header_names(spark: SparkSession, path: str, most: int = 10_000) -> list[str]:
+    """A list of registered header names: the first column of a CSV file with a heading; a setting, so a longer one is an error."""
+    names = [r[0] for r in spark.read.option("header", "true").csv(path).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} header names")
+    return [n.strip() for n in names if n and n.strip()]
 
 
 def read_parquet_splits(spark: SparkSession, path: str, columns: list[str], label: str | None = None, benign: str | None = None) -> DataFrame:
@@ -274,9 +306,7 @@ def export_csv(results: DataFrame, path: str) -> None:
 
 def positives_manifest(results: DataFrame) -> DataFrame:
     """Flagged mails with file names that don't collide: the base name, numbered where it repeats."""
-    from pyspark.sql import Window as W
-
     base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     rows = results.where("verdict").withColumn("base", base)
-    n = F.row_number().over(W.partitionBy("base").orderBy("path"))
-    return rows.withColumn("file_name", F.concat(F.col("base"), F.when(n > 1, F.concat(F.lit("_"), (n - 1).cast("string"))).otherwise(""), F.lit(".eml"))).drop("base")
+    rows = numbered(rows, ["base"], ["path"], "_n")
+    return rows.withColumn("file_name", F.concat(F.col("base"), F.when(F.col("_n") > 0, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(""), F.lit(".eml"))).drop("base", "_n")

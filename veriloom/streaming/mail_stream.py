@@ -39,16 +39,20 @@ def first_contact_stream(flagged: DataFrame) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["at", "mail_id"], kind="stable")
-        actions = []
-        for mail in rows["mail_id"]:
-            if first is None:
-                first = mail
-                actions.append("flag_first_contact")
-            else:
-                actions.append("flag_first_contact" if mail == first else "whitelist_suppressed")
+        columns = ["user", "sender_key", "claimed_identity", "mail_id", "at", "action"]
+        best: pd.DataFrame | None = None  # the rows of the earliest mail so far: all that is kept of the key's batches
+        for rows in batches:
+            if first is not None:
+                yield rows.assign(action=rows["mail_id"].map(lambda m: "flag_first_contact" if m == first else "whitelist_suppressed"))[columns]
+                continue
+            rows = rows if best is None else pd.concat([best, rows])
+            is_best = rows["mail_id"] == rows.sort_values(["at", "mail_id"], kind="stable")["mail_id"].iloc[0]
+            best = rows[is_best]
+            yield rows[~is_best].assign(action="whitelist_suppressed")[columns]
+        if best is not None and len(best):
+            first = best["mail_id"].iloc[0]
+            yield best.assign(action="flag_first_contact")[columns]
         state.update((first,))
-        yield rows.assign(action=actions)[["user", "sender_key", "claimed_identity", "mail_id", "at", "action"]]
 
     return flagged.groupBy("user", "sender_key", "claimed_identity").applyInPandasWithState(update, FIRST_CONTACT, "first string", "append", GroupStateTimeout.NoTimeout)
 
