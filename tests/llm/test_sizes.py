@@ -119,3 +119,10 @@ def test_mixture(spark):
     late = sum(r.n_tokens for r in order if r.source == "small" and r.position > 0.5)
     assert late > sum(r.n_tokens for r in order if r.source == "small" and r.position <= 0.5)
     assert Mixture(spark, docs.where("false"), targets).counts().count() == 0
+    own = Mixture(spark, docs, targets, schedule={"big": [2.0, 1.0, 0.0], "small": [0.0, 0.0, 4.0]})
+    order = own.curriculum().collect()
+    small = [r.position for r in order if r.source == "small"]
+    assert small and min(small) >= 0.5 and abs(sum(r.n_tokens for r in order if r.source == "small") / sum(r.n_tokens for r in order) - 0.5) < 0.05
+    assert sum(r.position < 0.5 for r in order if r.source == "big") > sum(r.position > 0.5 for r in order if r.source == "big")
+    with pytest.raises(ValueError):
+        Mixture(spark, docs, targets, schedule={"big": [1.0]})

@@ -45,28 +45,35 @@ def schedules(targets: dict[str, tuple[float, int]], tilt: float = 0.5) -> dict[
     return out
 
 
-def invert(share: Column, weights: list[float], knots: tuple[float, ...] = KNOTS) -> Column:
+def integral(weights: list[float], knots: tuple[float, ...] = KNOTS) -> float:
+    """The area under piecewise-linear weights, which is the share of all tokens that a source is due."""
+    return sum((knots[k + 1] - knots[k]) * (weights[k] + weights[k + 1]) / 2 for k in range(len(knots) - 1))
+
+
+def invert(share: Column, weights: list[float | Column], knots: tuple[float, ...] = KNOTS) -> Column:
     """The time at which the integral of piecewise-linear weights reaches a value (a share of the total)."""
-    out = F.lit(float(knots[-1]))
-    begun = [0.0]
+    w = [x if isinstance(x, Column) else F.lit(float(x)) for x in weights]
+    begun = [F.lit(0.0)]
     for k in range(len(knots) - 1):
-        begun.append(begun[-1] + (knots[k + 1] - knots[k]) * (weights[k] + weights[k + 1]) / 2)
+        begun.append(begun[-1] + F.lit((knots[k + 1] - knots[k]) / 2) * (w[k] + w[k + 1]))
+    out = F.lit(float(knots[-1]))
     for k in reversed(range(len(knots) - 1)):
-        a, b, w0, w1 = knots[k], knots[k + 1], weights[k], weights[k + 1]
-        slope = (w1 - w0) / (b - a)
-        y = share - F.lit(begun[k])
-        if abs(slope) < 1e-15:
-            t = F.lit(a) + (y / F.lit(w0) if w0 > 0 else F.lit(0.0))
-        else:
-            t = F.lit(a) + (-F.lit(w0) + F.sqrt(F.greatest(F.lit(w0 * w0) + 2 * F.lit(slope) * y, F.lit(0.0)))) / F.lit(slope)
-        out = F.when(share <= F.lit(begun[k + 1]), F.least(F.greatest(t, F.lit(a)), F.lit(b))).otherwise(out)
+        a, b = float(knots[k]), float(knots[k + 1])
+        slope = (w[k + 1] - w[k]) / F.lit(b - a)
+        y = share - begun[k]
+        even = F.lit(a) + F.when(w[k] > 0, y / w[k]).otherwise(F.lit(0.0))
+        bent = F.lit(a) + (-w[k] + F.sqrt(F.greatest(w[k] * w[k] + 2 * slope * y, F.lit(0.0)))) / F.when(F.abs(slope) < 1e-15, F.lit(1.0)).otherwise(slope)
+        t = F.when(F.abs(slope) < 1e-15, even).otherwise(bent)
+        out = F.when(share <= begun[k + 1], F.least(F.greatest(t, F.lit(a)), F.lit(b))).otherwise(out)
     return out
 
 
 class Mixture:
     """A plan of how the documents (key, source, n_tokens) are drawn; reads them once for totals, once for each result."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, targets: DataFrame, total: int | None = None, tilt: float = 0.5) -> None:
+    def __init__(self, spark: SparkSession, docs: DataFrame, targets: DataFrame, total: int | None = None, tilt: float = 0.5, schedule: dict[str, list[float]] | None = None) -> None:
+        """total: tokens to draw in all. schedule: each source's weights at the KNOTS, of any scale, in place of the tilted
+        shares; their integrals then are the target shares."""
         path = shared_path(spark, "mixing")
         docs.write.parquet(path)
         self.docs = spark.read.parquet(path)
@@ -74,28 +81,36 @@ class Mixture:
         if len(rows) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
         self.targets = {r[0]: (float(r[1]), 1 if r[2] is None else max(0, int(r[2]))) for r in rows}
-        have = self.docs.where(F.col("source").isin(list(self.targets)) & (F.col("n_tokens") > 0)).groupBy("source").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()
+        if schedule is not None:
+            if any(len(w) != len(KNOTS) or min(w) < 0 for w in schedule.values()):
+                raise ValueError(f"a schedule needs {len(KNOTS)} weights of 0 or more")
+            self.targets = {s: (integral(schedule[s]), r) for s, (_, r) in self.targets.items() if s in schedule and integral(schedule[s]) > 0}
+        named = F.broadcast(spark.createDataFrame([(s,) for s in self.targets], "source string"))
+        have = self.docs.where(F.col("n_tokens") > 0).join(named, "source", "left_semi").groupBy("source").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()
         self.have = {r[0]: (int(r[1]), int(r[2])) for r in have}
         live = {s: t for s, t in self.targets.items() if s in self.have and t[1] > 0}
         shares = sum(sh for sh, _ in live.values()) or 1.0
         self.live = {s: (sh / shares, r) for s, (sh, r) in live.items()}
         largest = min([self.have[s][0] * r / sh for s, (sh, r) in self.live.items()] or [0])
         self.total = int(largest if total is None else total)
-        self.demand = {s: min(int(sh * self.total), self.have[s][0] * r) for s, (sh, r) in self.live.items()}
-        self.weights = schedules(self.live, tilt)
+        if schedule is None:
+            self.weights = schedules(self.live, tilt)
+        else:
+            self.weights = {s: [x / shares for x in schedule[s]] for s in self.live}
+        # what a source is due is the integral of its weights, as far as its documents and repetitions reach
+        self.demand = {s: min(int(round(integral(self.weights[s]) * self.total, 6)), self.have[s][0] * r) for s, (_, r) in self.live.items()}
 
     def draws(self) -> DataFrame:
         """(key, source, n_tokens, repeat, begins): every copy that is drawn, with the tokens of its source before it."""
         empty = self.docs.where("false").select("key", "source", "n_tokens", F.lit(0).alias("repeat"), F.lit(0).cast("long").alias("begins"))
         if not self.live:
             return empty
-        need = self._pick({s: -(-self.demand[s] // self.have[s][0]) for s in self.live}, "int")
-        ranges = self._pick({s: max(1, -(-self.have[s][1] // RANGE)) for s in self.live}, "long")
         copies = (
-            self.docs.where(F.col("source").isin(list(self.live)) & (F.col("n_tokens") > 0))
-            .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.greatest(need, F.lit(1)))))
+            self.docs.where(F.col("n_tokens") > 0)
+            .join(self._plan(), "source")
+            .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.greatest(F.col("need"), F.lit(1)))))
             .withColumn("h", F.xxhash64("key", "repeat", F.lit("mix")))
-            .withColumn("part", F.floor((F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * ranges).cast("long"))
+            .withColumn("part", F.floor((F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("ranges")).cast("long"))
         )
         totals = copies.groupBy("source", "repeat", "part").agg(F.sum("n_tokens").alias("part_tokens"))
         before = F.coalesce(F.sum("part_tokens").over(W.partitionBy("source").orderBy("repeat", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -103,11 +118,12 @@ class Mixture:
         inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("source", "repeat", "part").orderBy("h", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         laid = copies.withColumn("inside", inside).join(totals, ["source", "repeat", "part"]).withColumn("begins", F.col("before") + F.col("inside"))
         # a copy is drawn if more than half of it lies within the demand
-        wanted = self._pick(self.demand, "long")
-        return laid.where(F.col("begins") * 2 + F.col("n_tokens") <= wanted * 2).select("key", "source", "n_tokens", "repeat", "begins")
+        return laid.where(F.col("begins") * 2 + F.col("n_tokens") <= F.col("wanted") * 2).select("key", "source", "n_tokens", "repeat", "begins")
 
-    def _pick(self, values: dict[str, int], kind: str) -> Column:
-        return F.element_at(F.create_map(*[x for s, v in values.items() for x in (F.lit(s), F.lit(v).cast(kind))]), F.col("source"))
+    def _plan(self) -> DataFrame:
+        """A row for each live source, MOST_SOURCES at most, to be broadcast."""
+        rows = [(s, -(-self.demand[s] // self.have[s][0]), max(1, -(-self.have[s][1] // RANGE)), self.demand[s], integral(self.weights[s]), [float(x) for x in self.weights[s]]) for s in self.live]
+        return F.broadcast(self.docs.sparkSession.createDataFrame(rows, "source string, need int, ranges bigint, wanted bigint, area double, weights array<double>"))
 
     def counts(self) -> DataFrame:
         """(key, source, times_taken) of every document, 0 for those not drawn."""
@@ -129,11 +145,10 @@ class Mixture:
 
     def curriculum(self) -> DataFrame:
         """(key, source, repeat, n_tokens, position): every copy with its place in training, range-sorted by it."""
-        position = F.lit(None).cast("double")
-        for s, w in self.weights.items():
-            at = (F.col("begins") + F.col("n_tokens") / 2) / F.lit(float(max(1, self.demand[s]))) * F.lit(self.live[s][0])
-            position = F.when(F.col("source") == s, invert(at, w)).otherwise(position)
-        rows = self.draws().withColumn("position", position)
+        if not self.live:
+            return self.draws().withColumn("position", F.lit(None).cast("double")).select("key", "source", "repeat", "n_tokens", "position")
+        at = (F.col("begins") + F.col("n_tokens") / 2) / F.greatest(F.col("wanted"), F.lit(1)) * F.col("area")
+        rows = self.draws().join(self._plan(), "source").withColumn("position", invert(at, [F.col("weights")[k] for k in range(len(KNOTS))]))
         return rows.select("key", "source", "repeat", "n_tokens", "position").orderBy("position", "key", "repeat")
 
 
