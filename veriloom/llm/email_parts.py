@@ -400,6 +400,7 @@ class SuffixAutomaton:
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTE_MARKS = re.compile(r"[\s>|]*")
+_MARKS_BEGIN = frozenset(" \t>|")
 
 
 def words_of(text: str) -> tuple[list[str], list[int]]:
@@ -490,9 +491,12 @@ def paragraphs(text: str) -> list[tuple[int, bool, int, int]]:
     words: list[str] = []
     rows = text.split("\n")
     for number, row in enumerate([*rows, ""], 1):
-        m = _QUOTE_MARKS.match(row)
-        body = row[m.end() :].split()
-        depth = m[0].count(">") + m[0].count("|")
+        if row[:1] in _MARKS_BEGIN:
+            m = _QUOTE_MARKS.match(row)
+            body = row[m.end() :].split()
+            depth = m[0].count(">") + m[0].count("|")
+        else:
+            body, depth = row.split(), 0
         if words and (not body or depth != level):
             found.append((" ".join(words).lower(), level, begun, number - 1))
             words = []
@@ -531,7 +535,9 @@ def _parts(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _inherited(parts: DataFrame, docs: DataFrame) -> DataFrame:
     """(rec_key, line_no) of lines inherited from earlier messages of the thread."""
     many = parts.where("thread is not null").groupBy("thread").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("thread")
-    members = parts.select("rec_key", "thread", "reply", "text_sum").join(many, "thread", "left_semi")
+    path = shared_path(parts.sparkSession, "email-members")
+    parts.select("rec_key", "thread", "reply", "text_sum").join(many, "thread", "left_semi").write.parquet(path)  # keys and hashes only; read several times below
+    members = parts.sparkSession.read.parquet(path)
     texts = members.join(docs.select("rec_key", "text"), "rec_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,18 +565,22 @@ def _inherited(parts: DataFrame, docs: DataFrame) -> DataFrame:
     # so the sources of a mail hold all that it shares with any earlier mail of the thread, without a comparison of all pairs.
     ranks = members.groupBy("thread", "text_sum").agg(F.min("reply").cast("int").alias("reply"))
     grams = near.join(whole, "rec_key").mapInArrow(long_runs, "rec_key string, thread bigint, text_sum bigint, words int, runs array<bigint>").join(ranks, ["thread", "text_sum"])
-    grams = grams.select("rec_key", F.struct("reply", "words").alias("rank"), "text_sum", F.explode("runs").alias("run"), "thread").select("rec_key", "rank", "text_sum", F.xxhash64("thread", "run").alias("run"))
+    grams = grams.select("rec_key", F.struct("reply", "words").alias("rank"), "text_sum", F.explode("runs").alias("run"), "thread").select("rec_key", "thread", "rank", "text_sum", F.xxhash64("thread", "run").alias("run"))
     path = shared_path(parts.sparkSession, "email-runs")
     grams.write.parquet(path)  # read twice below
     grams = parts.sparkSession.read.parquet(path)
     first = grams.groupBy("run").agg(F.min(F.struct("rank", "text_sum", "rec_key")).alias("first"))
-    pairs = grams.join(first, "run").where("rank > first.rank").select("rec_key", F.col("first.rec_key").alias("source")).distinct()
-    met = pairs.join(members.select("rec_key", "thread"), "rec_key")
+    path = shared_path(parts.sparkSession, "email-pairs")
+    grams.join(first, "run").where("rank > first.rank").select("rec_key", "thread", F.col("first.rec_key").alias("source")).distinct().write.parquet(path)  # read twice below
+    met = parts.sparkSession.read.parquet(path)
     sizes = met.groupBy("thread").agg(F.approx_count_distinct("source").alias("sources"), F.approx_count_distinct("rec_key").alias("replies"))
     part = lambda key, n, size: F.pmod(F.xxhash64(key), F.ceil(F.col(n) / size))
-    met = met.join(sizes, "thread").select("thread", part("source", "sources", SOURCES).alias("bucket"), part("rec_key", "replies", REPLIES).alias("block"), "source", "rec_key")
+    path = shared_path(parts.sparkSession, "email-met")
+    met.join(sizes, "thread").select("thread", part("source", "sources", SOURCES).alias("bucket"), part("rec_key", "replies", REPLIES).alias("block"), "source", "rec_key").write.parquet(path)  # read three times below
+    met = parts.sparkSession.read.parquet(path)
     group = ["thread", "bucket", "block"]
-    told = members.join(docs.select("rec_key", "text"), "rec_key").join(ranks.withColumnRenamed("reply", "later"), ["thread", "text_sum"]).select("rec_key", "text", "later", "text_sum")
+    met_keys = met.select("rec_key").unionByName(met.select(F.col("source").alias("rec_key"))).distinct()
+    told = members.join(met_keys, "rec_key", "left_semi").join(ranks.withColumnRenamed("reply", "later"), ["thread", "text_sum"]).join(whole, "rec_key").select("rec_key", "text", "later", "text_sum")
     earlier = met.select(*group, F.col("source").alias("rec_key")).distinct().join(told, "rec_key")
     earlier = earlier.select(*[F.col(c).alias(f"s_{c}") for c in earlier.columns])  # names of its own: both sides come from one table
     replies = met.select(*group, "rec_key").distinct().join(told, "rec_key")

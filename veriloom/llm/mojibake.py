@@ -290,8 +290,11 @@ def is_suspicious(text: str) -> bool:
     """Whether a text holds a word that is not sound by itself, without which no part of it was decoded wrongly."""
     if text.isascii():
         return False
-    # at plain spaces only: others can be part of a garbled sequence
-    return any(not w.isascii() and not (_SOUND.get(w) or _is_sound(w)) for w in text.replace("\n", " ").split(" "))
+    known = _SOUND.get
+    for w in text.replace("\n", " ").split(" "):  # at plain spaces only: others can be part of a garbled sequence
+        if not w.isascii() and not (known(w) or _is_sound(w)):
+            return True
+    return False
 
 
 #: Words (between spaces) that hold nothing suspicious by themselves, per Python worker.
