@@ -292,31 +292,24 @@ def fit_mixtures(df: DataFrame, value: str, source: str, priors: dict[str, dict[
     return counts.groupBy("source").applyInPandas(typed, "source string, weights map<string,double>")
 
 
-_ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.,][0-9]+)?)?(?:Z|([+-])([0-9]{2}):?([0-9]{2}))$"
-_SECONDS, _MILLIS = r"^([1-9][0-9]{8,9})(?:\.[0-9]+)?$", r"^([1-9][0-9]{12})$"
+#: What Spark's own reader takes as these texts mean it: offsets beyond 14 hours are left to the formats.
+_ISO = r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]{1,6})?(?:Z|[+-](?:(?:0[0-9]|1[0-3]):?[0-5][0-9]|14:?00))$"
+_SECONDS, _MILLIS = r"^[1-9][0-9]{8,9}(?:[.][0-9]+)?$", r"^[1-9][0-9]{12}$"
 
 
 def native_instants(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     """(the rows of df that native expressions read, with the four result columns; the other rows of df)."""
     v = F.col(value)
-    part = lambda k: F.regexp_extract(v, _ISO, k)
-    number = lambda k: F.when(part(k) != "", part(k).cast("int")).otherwise(F.lit(0))
-    y, mo, d, h, mi, s = (number(k) for k in range(1, 7))
-    minutes = number(8) * 60 + number(9)
-    dated = (y >= 1) & mo.between(1, 12)
-    fits = dated & (d >= 1) & (h <= 23) & (mi <= 59) & (s <= 59) & (number(9) <= 59) & (minutes <= 14 * 60)
-    last = F.when(dated, F.dayofmonth(F.last_day(F.make_date(y, mo, F.lit(1)))))
-    days = F.when(fits & (d <= last), F.unix_date(F.make_date(y, mo, d)).cast("long"))
-    iso = days * 86400 + h * 3600 + mi * 60 + s - F.when(part(7) == "-", -minutes).otherwise(minutes) * 60
-    seconds, millis = F.regexp_extract(v, _SECONDS, 1), F.regexp_extract(v, _MILLIS, 1)
     form = F.when(v.rlike(_ISO), "iso").when(v.rlike(_SECONDS), "epoch_s").when(v.rlike(_MILLIS), "epoch_ms")
-    instant = F.when(form == "iso", iso).when(form == "epoch_s", seconds.cast("long")).when(form == "epoch_ms", F.floor(millis.cast("long") / 1000))
+    number = F.substring_index(v, ".", 1).try_cast("long")
+    seconds = F.unix_seconds(v.try_cast("timestamp"))
+    instant = F.when(F.col("instant_format") == "iso", seconds).when(F.col("instant_format") == "epoch_s", number).otherwise(F.floor(number / 1000))
     kept = [c for c in df.columns if c not in RESULTS]
-    marked = df.select(*kept).withColumn("instant_format", form)
-    read_ = marked.where("instant_format is not null").withColumn("instant_s", instant)
+    marked = df.select(*kept, form.alias("instant_format"))
+    done = marked.where("instant_format is not null").select(*kept, instant.alias("instant_s"), "instant_format")
     status = F.when(F.col("instant_s").isNull(), "impossible").otherwise("ok")
-    read_ = read_.select(*kept, "instant_s", status.alias("instant_status"), "instant_format", F.when(F.col("instant_s").isNotNull(), 1.0).alias("instant_posterior"))
-    return read_, marked.where("instant_format is null").drop("instant_format")
+    done = done.select(*kept, "instant_s", status.alias("instant_status"), "instant_format", F.when(F.col("instant_s").isNotNull(), 1.0).alias("instant_posterior"))
+    return done, marked.where("instant_format is null").drop("instant_format")
 
 
 #: Columns of the result.
