@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from veriloom.llm.unicode_forms import canonical
+from veriloom.session import shared_path, table
 
 #: Most entries of a reference list that are sent to every executor; a longer list raises an error instead.
 MAX_REFERENCE = 200_000
 #: Entries, and share of the entries of two words or more, beside which a phrase stands that names nobody. More than
 #: MOST_PHRASES such phrases are an error.
 LEAST_ENTRIES, ENTRY_SHARE, MOST_PHRASES = 5, 0.05, 100_000
+#: Values that can have more than 1/HOT of all rows: so many at most are broadcast.
+HOT = 100_000
 #: Values and words that a worker remembers.
 MEMO = 200_000
 
@@ -517,29 +520,45 @@ def reference_entries(reference: DataFrame, name: str, aliases: str, most: int =
 
 
 def map_to_list(df: DataFrame, keys: list[str], value: str, entries: tuple, unmatched: bool = True) -> DataFrame:
-    """(keys…, value, match_status, match, match_distance) of each row; without ``unmatched`` only rows with a match."""
-    learned = learn_phrases(df, value, entries)
+    """(keys…, value, match_status, match, match_distance) of each row; without ``unmatched`` only rows with a match.
+
+    Every distinct value is matched once. The results of the most frequent values, HOT at most, go to the rows by
+    broadcast; the other values meet their rows in a join in which no value has more than 1/HOT of the rows.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "canonical-list")
     rows = df.select(*keys, F.col(value).alias("value"))
+    rows.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/values")
+    values = spark.read.parquet(f"{path}/values")
+    learned = learn_phrases(values, "value", entries)
     new = [StructField("match_status", StringType()), StructField("match", StringType()), StructField("match_distance", IntegerType())]
-    schema = StructType([*rows.schema.fields, *new])
+    schema = StructType([*values.schema.fields, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher(entries, learned)
         for batch in batches:
             got = [m.match(v) for v in batch.column("value").to_pylist()]
-            if not unmatched:
-                index = pa.array([k for k, x in enumerate(got) if x[1] is not None], pa.int64())
-                batch = batch.take(index)
-                got = [x for x in got if x[1] is not None]
             cols = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*keys, "value", "match_status", "match", "match_distance"])
-
-    return rows.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=["value", "n", "match_status", "match", "match_distance"])
+
+    values.mapInArrow(run, schema).write.parquet(f"{path}/matches")
+    matches = spark.read.parquet(f"{path}/matches")
+    total = matches.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wanted = matches if unmatched else matches.where("match is not null")
+    often = F.col("n") * HOT >= total
+    names = ["match_status", "match", "match_distance"]
+    # All frequent values take part here, matched or not, so that none of them is sent to the join below.
+    hot = rows.join(F.broadcast(matches.where(often).drop("n")), "value", "left")
+    found = hot.where("match_status is not null" if unmatched else "match is not null")
+    rest = hot.where("match_status is null and value is not null").drop(*names).join(wanted.where(~often).drop("n"), "value")
+    out = found.unionByName(rest)
+    if unmatched:
+        nothing = hot.where("value is null").drop(*names).withColumns({"match_status": F.lit("empty"), "match": F.lit(None).cast("string"), "match_distance": F.lit(None).cast("int")})
+        out = out.unionByName(nothing)
+    return out.select(*keys, "value", *names)
 
 
 def p4_matches(spark: SparkSession, sf_dir: str, unmatched: bool) -> DataFrame:
-    from veriloom.session import table
-
     entries = reference_entries(table(spark, sf_dir, "kb"), "brand", "domains")
     rows = table(spark, sf_dir, "req2_llm_classified").select(F.lit("req2_llm_classified").alias("src_table"), F.col("file").alias("rec_key"), F.col("claimed_organization").alias("value"))
     more = table(spark, sf_dir, "decision").select(F.lit("decision").alias("src_table"), F.col("join_key").alias("rec_key"), F.col("claimed_identity").alias("value"))
