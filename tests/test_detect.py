@@ -105,3 +105,27 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster(monkeypatch):
     fake = type("Spark", (), {"sparkContext": Context(), "conf": {}})()
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(fake)
+
+
+def test_cells_find_what_is_near(spark, monkeypatch):
+    import numpy as np
+
+    from veriloom.operators import matching as M
+
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(30, 24))
+    vectors = [centres[rnd.integers(30)] + 0.25 * rnd.normal(size=24) for _ in range(1200)] + [centres[0]] * 600  # a third of all alike
+    rows = [(k, [float(x) for x in v / np.linalg.norm(v)]) for k, v in enumerate(vectors)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    base = df.withColumnRenamed("id", "b")
+    asked = df.where("id % 50 = 0 or id = 9999")
+    exact = M.nearest(asked, "id", "v", base, "b", "v", 5, exclude_self=True)
+    whole = {(r.id, r.b, r["rank"]) for r in exact.collect()}
+    for block in (M.BLOCK, 100):
+        monkeypatch.setattr(M, "BLOCK", block)
+        found = M.nearest_by_cells(asked, "id", "v", base, "b", "v", 5, exclude_self=True, sample=500)
+        assert M.recall(found, exact, "id", "b").first().recall >= 0.9
+    every = M.nearest_by_cells(asked, "id", "v", base, "b", "v", 5, exclude_self=True, probes=10_000)
+    assert {(r.id, r.b, r["rank"]) for r in every.collect()} == whole
+    assert M.nearest_by_cells(asked, "id", "v", base.where("false"), "b", "v").count() == 0 and M.nearest_by_cells(asked.where("false"), "id", "v", base, "b", "v").count() == 0
+    assert M.recall(exact.where("false"), exact.where("false"), "id", "b").first().recall is None

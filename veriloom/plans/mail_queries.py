@@ -404,6 +404,24 @@ def nn_threshold(s: SparkSession, d: str) -> DataFrame:
     return M.count_near(e.where("vec_id % 50 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", 0.4, exclude_self=True)
 
 
+def _by_cells(s: SparkSession, d: str, k: int) -> DataFrame:
+    e = table(s, d, "embeddings")
+    base = e.select(F.col("vec_id").alias("neighbour"), "embedding")
+    return M.nearest_by_cells(e.where("vec_id % 50 = 0"), "vec_id", "embedding", base, "neighbour", "embedding", k, exclude_self=True)
+
+
+@query("nn_cells")
+def nn_cells(s: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors by the approximate index: every row whose id is divisible by 50 against all rows."""
+    return _by_cells(s, d, 5).withColumn("score", F.round("score", 6))
+
+
+@query("nn_cells_recall")
+def nn_cells_recall(s: SparkSession, d: str) -> DataFrame:
+    """How much of the exact result the approximate index finds."""
+    return M.recall(_by_cells(s, d, 5), _neighbours(s, d, 5), "vec_id", "neighbour")
+
+
 def _neighbours(s: SparkSession, d: str, k: int) -> DataFrame:
     e = table(s, d, "embeddings")
     base = e.select(F.col("vec_id").alias("neighbour"), "embedding")
