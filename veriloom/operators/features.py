@@ -94,11 +94,18 @@ def header_features(headers: Column) -> dict[str, Column]:
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in out.items()}
 
 
-def body_features(text: Column, html: Column, subject: Column, sender: Column, suffixes: Sequence[str] = SUFFIXES) -> dict[str, Column]:
-    """Numbers read from bodies and links; nulls count as empty texts."""
+def with_links(messages: DataFrame, text: str, html: str, urls: str = "_urls", hosts: str = "_hosts") -> DataFrame:
+    """messages with the URLs of a body and their hosts as columns, so that features read them instead of the texts."""
+    both = F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(html), F.lit("")))
+    found = messages.withColumn(urls, F.when(F.contains(both, F.lit("://")), urls_in(both)).otherwise(F.array().cast("array<string>")))
+    return found.withColumn(hosts, F.transform(urls, host_of))
+
+
+def body_features(text: Column, html: Column, subject: Column, sender: Column, suffixes: Sequence[str] = SUFFIXES, urls: Column | None = None, hosts: Column | None = None) -> dict[str, Column]:
+    """Numbers read from bodies and links; nulls count as empty texts. urls, hosts: those of with_links(), if they are known."""
     t, h, s = F.coalesce(text, F.lit("")), F.coalesce(html, F.lit("")), F.coalesce(subject, F.lit(""))
-    urls = urls_in(F.concat_ws(" ", t, h))
-    hosts = F.transform(urls, host_of)
+    urls = urls_in(F.concat_ws(" ", t, h)) if urls is None else urls
+    hosts = F.transform(urls, host_of) if hosts is None else hosts
     own = registrable(email_host(sender), suffixes, "host")
     stats = word_stats(t)
     foreign = F.size(F.filter(hosts, lambda x: registrable(x, suffixes, "host") != F.coalesce(own, F.lit(""))))

@@ -48,9 +48,10 @@ def parse_mail(s: SparkSession, d: str) -> DataFrame:
 
 def message_features(s: SparkSession, d: str) -> DataFrame:
     """Header and body features of every document as a message."""
-    m = parse_messages(raw_mails(s, d))
-    features = X.header_features(F.col("headers")) | X.body_features(F.col("body_text"), F.col("body_html"), F.col("subject"), F.col("sender_address"), D.RESERVED)
-    return X.with_features(m.select("path", "headers", "body_text", "body_html", "subject", "sender_address"), features).drop("headers", "body_text", "body_html", "subject", "sender_address")
+    m = parse_messages(raw_mails(s, d)).select("path", "headers", "body_text", "body_html", "subject", "sender_address")
+    m = X.with_links(m, "body_text", "body_html")
+    features = X.header_features(F.col("headers")) | X.body_features(F.col("body_text"), F.col("body_html"), F.col("subject"), F.col("sender_address"), D.RESERVED, F.col("_urls"), F.col("_hosts"))
+    return X.with_features(m, features).drop("headers", "body_text", "body_html", "subject", "sender_address", "_urls", "_hosts")
 
 
 def cluster_names(s: SparkSession, d: str) -> DataFrame:
