@@ -95,68 +95,109 @@ def _abbreviates(short: str, word: str) -> bool:
 
 
 class Trie:
-    """Strings with values, searched within an edit distance (transposition of neighbours counts one)."""
+    """Strings with values, searched within an edit distance (transposition of neighbours counts one).
+
+    A node is a list: children by character, values if a string ends there, and the least and most characters that follow.
+    """
 
     def __init__(self) -> None:
-        self.root: dict = {}
+        self.root: list = [{}, None, 1 << 30, 0]
 
     def add(self, key: str, value: object) -> None:
-        node = self.root
+        node, rest = self.root, len(key)
         for c in key:
-            node = node.setdefault(c, {})
-        node.setdefault("", set()).add(value)
+            node[2], node[3] = min(node[2], rest), max(node[3], rest)
+            rest -= 1
+            node = node[0].setdefault(c, [{}, None, 1 << 30, 0])
+        node[2] = 0
+        if node[1] is None:
+            node[1] = (key, set())
+        node[1][1].add(value)
 
     def get(self, key: str) -> set:
         node = self.root
         for c in key:
-            if (node := node.get(c)) is None:
+            if (node := node[0].get(c)) is None:
                 return set()
-        return node.get("", set())
+        return node[1][1] if node[1] else set()
 
     def search(self, query: str, k: int) -> list[tuple[int, str, object]]:
         """(distance, key, value) of all keys within k.
 
         Bit i of row l: the first i characters of the query are matched with at most l edits by the path so far. Row l
-        of ``swapped``: the next two characters would match exchanged.
+        of ``swapped``: the next two characters would match exchanged. A path is left when none of its states can reach
+        the query's end by the characters that still follow in the trie.
         """
         masks: dict[str, int] = {}
         for i, c in enumerate(query):
             masks[c] = masks.get(c, 0) | 1 << i
         n = len(query)
         full, done = (1 << (n + 1)) - 1, 1 << n
+        windows: dict[tuple[int, int], int] = {}
         rows, row = [], 1
         for _ in range(k + 1):
             rows.append(row)
             row |= row << 1
         out: list[tuple[int, str, object]] = []
-        stack = [(self.root, "", rows, [0] * (k + 1))]
+        levels = range(1, k + 1)
+        stack = [(self.root, rows, [0] * (k + 1))]
+        of = masks.get
         while stack:
-            node, path, rows, swapped = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    for level, r in enumerate(rows):
-                        if r & done:
-                            out += [(level, path, v) for v in child]
-                            break
+            node, rows, swapped = stack.pop()
+            if node[1] is not None and rows[k] & done:
+                level = next(x for x, r in enumerate(rows) if r & done)
+                key, values = node[1]
+                out += [(level, key, v) for v in values]
+            first = rows[0]
+            for c, child in node[0].items():
+                span = (child[2], child[3])
+                window = windows.get(span)
+                if window is None:
+                    low = n - child[3] - k
+                    window = windows[span] = ((1 << max(0, n - child[2] + k + 1)) - 1) & ~((1 << max(0, low)) - 1)
+                b = of(c, 0)
+                last = (first & b) << 1
+                if not b:
+                    # no character of the query: every state costs an edit
+                    if not k:
+                        continue
+                    new = [0]
+                    before = first
+                    for level in levels:
+                        last = (before | (before << 1) | (last << 1)) & full
+                        new.append(last)
+                        before = rows[level]
+                    if last & window:
+                        stack.append((child, new, [0] * (k + 1)))
                     continue
-                b = masks.get(c, 0)
-                last = (rows[0] & b) << 1
-                new, swap = [last], [0]
-                for level in range(1, k + 1):
-                    before = rows[level - 1]
-                    swap.append(before & (b >> 1))
-                    last = (((rows[level] & b) << 1) | before | (before << 1) | (last << 1) | ((swapped[level] & b) << 2)) & full
+                new, swap, half, before = [last], [0], b >> 1, first
+                for level in levels:
+                    now = rows[level]
+                    swap.append(before & half)
+                    last = (((now & b) << 1) | before | (before << 1) | (last << 1) | ((swapped[level] & b) << 2)) & full
                     new.append(last)
-                if new[-1]:
-                    stack.append((child, path + c, new, swap))
+                    before = now
+                if last & window:
+                    stack.append((child, new, swap))
         return out
 
 
 def distance(a: str, b: str, most: int = 9) -> int:
-    """Edit distance with transpositions, through the same automaton."""
-    t = Trie()
-    t.add(b, 0)
-    return min((d for d, *_ in t.search(a, most)), default=most + 1)
+    """Edit distance with transpositions of neighbours, most + 1 if it is larger."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    two, one = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, two[j - 2] + 1)
+            row.append(cost)
+        if min(row) > most:
+            return most + 1
+        two, one = one, row
+    return min(one[-1], most + 1)
 
 
 @dataclass
@@ -541,7 +582,9 @@ def map_to_list(df: DataFrame, keys: list[str], value: str, entries: tuple, unma
             cols = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=["value", "n", "match_status", "match", "match_distance"])
 
-    values.mapInArrow(run, schema).write.parquet(f"{path}/matches")
+    # matching is the costly part: a task for every few thousand values, at most a few for each core
+    spread = min(-(-values.count() // 2000), 4 * spark.sparkContext.defaultParallelism)
+    (values.repartition(spread) if spread > 1 else values).mapInArrow(run, schema).write.parquet(f"{path}/matches")
     matches = spark.read.parquet(f"{path}/matches")
     total = matches.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     wanted = matches if unmatched else matches.where("match is not null")
