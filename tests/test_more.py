@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,15 @@ def test_model_text_and_hooks(spark):
     assert [r.v for r in l.select(language("x").alias("v")).collect()] == ["en", "de", "", ""]
     pages = spark.createDataFrame([("long enough text that is readable by itself", "<p>"), ("short", "<b>page</b>")], "t string, h string")
     assert sorted(r.readable for r in text_or_rendered(pages, "t", "h", lambda p: "rendered").collect()) == ["long enough text that is readable by itself", "rendered"]
+
+
+def test_places_in_long_texts(spark):
+    """A computed array of tokens is computed once for a row, not at every place; nulls and ends count as in a slice."""
+    rows = [("the team " * 30_000 + "the", 0), ("a the team", 1), ("team the", 2), ("", 3), (None, 4)]
+    df = spark.createDataFrame(rows, "text string, k int")
+    began = time.monotonic()
+    got = {r.k: r.p for r in df.select("k", N.places(F.split(F.lower("text"), " "), F.array(F.lit("the"), F.lit("team"))).alias("p")).collect()}
+    assert time.monotonic() - began < 30
+    assert got[0] == list(range(0, 60_000, 2)) and [got[k] for k in (1, 2, 3, 4)] == [[1], [], [], []]
+    odd = spark.createDataFrame([([None, "a", None, "a"], [None, "a"]), (["a"], []), (["a"], None), ([], ["a"]), (["a"], ["a", "b"])], "t array<string>, w array<string>")
+    assert [r.p for r in odd.select(N.places(F.col("t"), F.col("w")).alias("p")).collect()] == [[0, 2], [], [], [], []]

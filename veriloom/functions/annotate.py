@@ -24,10 +24,16 @@ def occurrences(tokens: list[str], wanted: list[str]) -> list[int]:
 
 
 def places(tokens: Column, wanted: Column) -> Column:
-    """The same as a native expression over arrays, from 0."""
-    n, m = F.size(tokens), F.size(wanted)
-    starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(0), n - m))
-    return F.coalesce(F.filter(starts, lambda k: F.slice(tokens, k + 1, m) == wanted), F.array().cast("array<int>"))
+    """The same as a native expression over arrays, from 0. Both are variables of an outer lambda, so that they are computed
+    once for a row and not at every place; whole slices are compared only where the first token fits."""
+
+    def within(x: Column) -> Column:
+        t, w = x["t"], x["w"]
+        n, m = F.size(t), F.size(w)
+        starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(0), n - m))
+        return F.coalesce(F.filter(starts, lambda k: F.when(F.get(t, k).eqNullSafe(F.get(w, F.lit(0))), F.slice(t, k + 1, m) == w)), F.array().cast("array<int>"))
+
+    return F.element_at(F.transform(F.array(F.struct(tokens.alias("t"), wanted.alias("w"))), within), 1)
 
 
 def first_and_last(tokens: list[str], wanted: list[str]) -> list[int]:
