@@ -1,16 +1,18 @@
 """Messages to verdicts, numbering without large groups, and the smaller operators."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from veriloom.functions import domains as D
 from veriloom.functions.headers import MORE_MARKS, is_reply_subject, listed_headers
+from veriloom.functions.text import next_step_urls
 from veriloom.operators import evaluate as E
 from veriloom.operators.allow import numbered
 from veriloom.operators.detect import ALLOWED_SENDER, RELAXED, REPLY, Mode, decide, leading
-from veriloom.operators.matching import cluster_close
+from veriloom.operators.matching import cluster_any, cluster_close
 from veriloom.sources.mail import sample_bodies, split_concatenated_json
 
 MAIL = "path string, sender_name string, sender_address string, to_addresses array<string>, reply_to string, subject string, body_text string"
@@ -129,3 +131,33 @@ def test_cells_find_what_is_near(spark, monkeypatch):
     assert {(r.id, r.b, r["rank"]) for r in every.collect()} == whole
     assert M.nearest_by_cells(asked, "id", "v", base.where("false"), "b", "v").count() == 0 and M.nearest_by_cells(asked.where("false"), "id", "v", base, "b", "v").count() == 0
     assert M.recall(exact.where("false"), exact.where("false"), "id", "b").first().recall is None
+
+
+def test_messages_are_read_once(spark, tmp_path):
+    """A verdict takes one pass over the messages, however often matching and joins need what was recognised in them."""
+    log = str(tmp_path / "asked")
+
+    def said(text):
+        with open(log, "a") as f:
+            f.write(text.split("Body: ")[1] + "\n")
+        return ["Kestan Motors"], ["Please click."], ["admin"]
+
+    kb = spark.createDataFrame(KB, "brand string, domains array<string>")
+    df = spark.createDataFrame([*(mail(f"m{k}", f"body {k}") for k in range(9)), mail("gated", "not read", subject="RE: x")], MAIL)
+    got = {r.path: r.status for r in decide(df, kb, suffixes=D.RESERVED, recogniser=said).collect()}
+    assert got == {"gated": REPLY} | {f"m{k}": "Kestan Motors" for k in range(9)}
+    with open(log) as f:
+        assert sorted(f.read().split("\n")) == ["", *(f"body {k}" for k in range(9))]
+
+
+def test_clusters_end_with_the_last_one_wanted():
+    names = ["Abc", "Velora Bank", "Kestan Motors", "abc ltd", "Velora", "Kestan"]
+    assert cluster_any(names) == [["Abc", "abc ltd"], ["Velora Bank", "Velora"], ["Kestan Motors", "Kestan"]]
+    assert cluster_any(names, last=lambda s: len(s) > 3) == [["Abc", "abc ltd"], ["Velora Bank", "Velora"]]
+
+
+def test_next_step_urls_of_long_texts(spark):
+    text = "Please click now. Go (https://a.example/x) here. " * 10_000
+    began = time.monotonic()
+    row = spark.createDataFrame([(text, ["click now", "Go (https"]), ("click. (http://b.example)", None)], "t string, a array<string>").select(next_step_urls(F.col("t"), F.col("a")).alias("u")).collect()
+    assert [r.u for r in row] == [["https://a.example/x"], []] and time.monotonic() - began < 30

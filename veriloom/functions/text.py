@@ -167,9 +167,12 @@ def sentences(t: Column) -> Column:
 
 def next_step_urls(t: Column, actions: Column) -> Column:
     """The first ``(http…)`` of each sentence that follows a sentence with one of the actions."""
-    s = sentences(t)
-    has = lambda x: F.exists(F.coalesce(actions, F.array().cast("array<string>")), lambda a: F.contains(x, a))
-    urls = F.transform(s, lambda x, i: F.when(has(x), F.regexp_extract(F.coalesce(F.try_element_at(s, (i + 2).cast("int")), F.lit("")), r"\((https?://[^)\s]+)", 1)))
+    has = lambda x, acts: F.exists(acts, lambda a: F.contains(x, a))
+    after = lambda s, i: F.regexp_extract(F.coalesce(F.try_element_at(s, (i + 2).cast("int")), F.lit("")), r"\((https?://[^)\s]+)", 1)
+    # the sentences and actions are variables of an outer lambda: they are computed once for a text, not at every sentence
+    within = lambda v: F.transform(v["s"], lambda x, i: F.when(has(x, v["a"]), after(v["s"], i)))
+    both = F.struct(sentences(t).alias("s"), F.coalesce(actions, F.array().cast("array<string>")).alias("a"))
+    urls = F.element_at(F.transform(F.array(both), within), 1)
     return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & (u != "")))
 
 

@@ -25,6 +25,7 @@ from veriloom.functions.text import clean_entity
 from veriloom.operators.matching import BRAND, ROLE, cluster_any, first_role, official_domains
 from veriloom.operators.recognise import ROLES, recognise
 from veriloom.operators.verdict import verdict
+from veriloom.session import shared_path
 
 #: What the gates say of a message they let pass unread.
 REPLY, ALLOWED_SENDER = "Non-original email (Reply/Forward)", "Sent from an whitelisted address"
@@ -46,12 +47,9 @@ STRICT, RELAXED = Mode(), Mode(relax=True)
 
 def leading(identities: list[str]) -> list[str]:
     """The clusters of similar identities in order, up to and with the first whose representative is longer than three characters."""
-    out: list[str] = []
-    for cluster in cluster_any([x for x in identities if x is not None]):
-        out += cluster
-        if len(re.sub(r"[@!:;.]", "", cluster[0]).strip()) > 3:
-            break
-    return list(dict.fromkeys(out))
+    long = lambda first: len(re.sub(r"[@!:;.]", "", first).strip()) > 3
+    clusters = cluster_any([x for x in identities if x is not None], last=long)
+    return list(dict.fromkeys(x for c in clusters for x in c))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -72,28 +70,35 @@ def decide(messages: DataFrame, kb: DataFrame, roles: DataFrame | None = None, a
     sender_address, to_addresses, reply_to, subject, body_text).
 
     names: what the default recogniser knows; else the brands of kb, which is then a list within recognise()'s bound.
+    Messages are read once, when this is called: what was recognised is kept in a table below the shared checkpoint folder.
     """
-    one = messages.dropDuplicates(["path"])
     senders = domain_set(F.array("sender_address"), suffixes)
     gate = F.when(is_reply_subject(F.col("subject")), REPLY).when(from_allowed_domain(senders, allowed, suffixes), ALLOWED_SENDER)
-    marked = one.withColumn("_gate", gate)
     if names is None:
         names = [r[0] for r in kb.select("brand").where("brand is not null").distinct().limit(200_001).collect()] if recogniser is None else []
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     text = F.concat(F.lit("Subject: "), blank("subject"), F.lit(" \n From: "), blank("sender_name"), F.lit(" \n Body: "), blank("body_text"))
-    seen = recognise(marked.where("_gate is null"), text, names, recogniser)
+    read = recognise(messages.withColumn("_gate", gate), text, names, recogniser, F.col("_gate").isNull())
     clean = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: clean_entity(x)), lambda x: x.isNotNull())
-    seen = seen.withColumns({"_ids": clean("identities"), "_rels": clean("relations")})
-    seen = seen.withColumn("_first", F.col("_ids") if mode.relax else leading_identities("_ids"))
+    read = read.withColumns({"_ids": clean("identities"), "_rels": clean("relations")})
+    read = read.withColumn("_first", F.col("_ids") if mode.relax else leading_identities("_ids"))
     step = F.when(F.size("cta_urls") > 0, F.col("cta_urls")).otherwise(F.array(F.coalesce(F.col("reply_to"), F.lit(""))))
-    seen = seen.withColumns({"_senders": F.array_union(senders, domain_set(step, suffixes)), "_recipients": domain_set(F.col("to_addresses"), suffixes), "_all": F.concat("_ids", "_rels")})
+    read = read.withColumns({"_senders": F.array_union(senders, domain_set(step, suffixes)), "_recipients": domain_set(F.col("to_addresses"), suffixes), "_all": F.concat("_ids", "_rels")})
+    kept = ["identities", "actions", "relations", "cta_urls"]
+    # What was read is a table without texts: matching and the joins pass over it several times, over the messages never again.
+    spark = messages.sparkSession
+    stored = shared_path(spark, "recognised")
+    read.select("path", "_gate", "_ids", "_rels", "_first", "_senders", "_recipients", "_all", *kept).dropDuplicates(["path"]).write.parquet(stored)
+    marked = spark.read.parquet(stored)
+    seen = marked.where("_gate is null")
     official = official_domains(seen, "path", "_first", kb, mode.brand)
     if roles is None:
-        roles = kb.sparkSession.createDataFrame([(r,) for r in ROLES], "role string")
+        roles = spark.createDataFrame([(r,) for r in ROLES], "role string")
     internal = first_role(seen, "path", "_all", roles, mode.role)
     joined = seen.join(official, "path", "left").join(internal, "path", "left")
-    v = verdict(F.col("_ids"), F.col("_rels"), F.col("actions"), F.col("_senders"), F.col("_recipients"), F.col("official"), F.col("brands"), F.col("role"), mode.check_action, suffixes)
-    kept = ["identities", "actions", "relations", "cta_urls"]
+    overlaps = [domains_overlap(F.col("_senders"), F.col(c), suffixes) for c in ("official", "_recipients")]
+    joined = joined.withColumns({"_official": overlaps[0], "_inside": overlaps[1]})
+    v = verdict(F.col("_ids"), F.col("_rels"), F.col("actions"), F.col("_senders"), F.col("_recipients"), F.col("official"), F.col("brands"), F.col("role"), mode.check_action, suffixes, (F.col("_official"), F.col("_inside")))
     decided = joined.withColumn("_v", v).select("path", "_v.verdict", "_v.status", "_v.matched", *kept)
     none = F.array().cast("array<string>")
     passed = marked.where("_gate is not null").select("path", F.lit(False).alias("verdict"), F.col("_gate").alias("status"), F.lit(None).cast("array<string>").alias("matched"), *[none.alias(c) for c in kept])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -275,16 +276,35 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def cluster_any(strings: list[str], threshold: float = 0.5) -> list[list[str]]:
-    """Greedy clusters in order: a string joins the first that has a member similar to it, or within it, or around it."""
+@functools.lru_cache(maxsize=100_000)
+def _close(a: str, b: str, threshold: float) -> bool:
+    """Whether one text is within the other, or their similarity is above the threshold; bounds of it are tried first."""
+    if a in b or b in a:
+        return True
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() > threshold and m.quick_ratio() > threshold and m.ratio() > threshold
+
+
+def cluster_any(strings: list[str], threshold: float = 0.5, last: Callable[[str], bool] | None = None) -> list[list[str]]:
+    """Greedy clusters in order: a string joins the first that has a member similar to it, or within it, or around it.
+
+    last: ends the list with the first cluster whose first member it holds for; what joins none of these is left out.
+    """
     out: list[list[str]] = []
+    small: list[list[str]] = []
+    ended = False
     for s in strings:
-        for c in out:
-            if any(_ratio(s.lower(), x.lower()) > threshold or s.lower() in x.lower() or x.lower() in s.lower() for x in c):
+        low = s.lower()
+        for c, members in zip(out, small, strict=True):
+            if any(_close(low, x, threshold) for x in members):
                 c.append(s)
+                members.append(low)
                 break
         else:
-            out.append([s])
+            if not ended:
+                out.append([s])
+                small.append([low])
+                ended = last is not None and last(s)
     return out
 
 

@@ -22,6 +22,7 @@ ROLES = ["it helpdesk", "help desk", "human resources", "hr department", "payrol
 RECOGNITION = StructType([StructField(n, ArrayType(StringType())) for n in ("identities", "actions", "relations")])
 
 _CAPITAL = re.compile(r"(?:[A-ZÀ-Þ][\w'’-]+)(?:\s+(?:of|&|and|de|the)\s+[A-ZÀ-Þ][\w'’-]+|\s+[A-ZÀ-Þ][\w'’-]+){0,3}")
+_REQUEST = re.compile(rf"\b(?:{'|'.join(REQUESTS)})\b")
 _TEAM = re.compile(r"(?i)\bthe\s+(.{3,40}?)\s+team\b")
 
 
@@ -44,7 +45,7 @@ def default_recogniser(names: frozenset[str] = frozenset(), roles: tuple[str, ..
         low = text.lower()
         relations = [r for r in roles if r in low]
         sentences = [s.strip().rstrip(".") for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-        actions = [s for s in sentences if any(re.search(rf"\b{v}\b", s.lower()) for v in REQUESTS)]
+        actions = [s for s in sentences if _REQUEST.search(s.lower())]
         if not found and not relations and re.search(r"(?i)\bfrom:\s*admin", text):
             relations = ["admin"]
         return list(found.values()), list(dict.fromkeys(actions)), relations
@@ -52,21 +53,23 @@ def default_recogniser(names: frozenset[str] = frozenset(), roles: tuple[str, ..
     return recognise
 
 
-def recognise(messages: DataFrame, text: Column, names: list[str], recogniser: Callable | None = None) -> DataFrame:
+def recognise(messages: DataFrame, text: Column, names: list[str], recogniser: Callable | None = None, wanted: Column | None = None) -> DataFrame:
     """messages with ``identities``, ``actions``, ``relations`` and ``cta_urls``.
 
     names: known names, at most 200,000, as they go to every executor with the function.
+    wanted: messages that are read; nothing is recognised in the others, and the recogniser is not asked.
     """
     if len(names) > 200_000:
         raise ValueError("more than 200,000 known names")
     known = frozenset(n.lower() for n in names)
 
     @F.pandas_udf(RECOGNITION)
-    def run(s: pd.Series) -> pd.DataFrame:
+    def run(s: pd.Series, asked: pd.Series) -> pd.DataFrame:
         f = recogniser or default_recogniser(known)
-        return pd.DataFrame([f(t) for t in s], columns=RECOGNITION.names)
+        return pd.DataFrame([f(t) if a else ([], [], []) for t, a in zip(s, asked, strict=True)], columns=RECOGNITION.names)
 
-    out = messages.withColumn("_text", text).withColumn("_r", run("_text"))
+    asked = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    out = messages.withColumns({"_text": F.when(asked, text), "_asked": asked}).withColumn("_r", run("_text", "_asked"))
     out = out.select(*messages.columns, "_text", "_r.identities", "_r.actions", "_r.relations")
     return out.withColumn("cta_urls", next_step_urls(F.col("_text"), F.col("actions"))).drop("_text")
 
