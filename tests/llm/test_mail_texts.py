@@ -4,7 +4,7 @@ import pytest
 
 from veriloom.llm import email_parts
 from veriloom.llm.email_parts import SuffixAutomaton, anchors, bare_subject, inherited_lines, new_text, not_new, p5_found, p5_reduced, p5_steps, p5_subjects, paragraphs
-from veriloom.llm.pii import EDGES, Lexicon, Model, Node, candidates, edges_of, fit, fit_on, infer, lexicon_of, lexicon_of_texts, names_shown, p6_found, p6_messages, p6_redacted, pieces, redact, send
+from veriloom.llm.pii import EDGES, Lexicon, Model, Node, Words, candidates, edges_of, fit, fit_on, infer, lexicon_of, lexicon_of_texts, names_shown, p6_found, p6_messages, p6_redacted, pieces, redact, send
 
 MAIL = """Hi Ruth,
 
@@ -202,6 +202,19 @@ def test_lexicon_is_of_all_texts(spark):
     assert lexicon_of(df, "text") == lexicon_of_texts(texts)
 
 
+@pytest.mark.parametrize("most", [1, 200_000])
+def test_lexicon_does_not_depend_on_size(spark, monkeypatch, most):
+    """A word that comes often enough is kept however many runs there are; packed words give the answers of a set."""
+    monkeypatch.setattr("veriloom.llm.pii.MOST_OTHERS", most)
+    texts = ["The plan is ready at Silver Motors."] * 5 + [f"Bronze Harbour {x} and Golden Harbour {x}." for x in "abcdefgh"] * 20 + made_mails(40)
+    got = lexicon_of(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "text")
+    want = lexicon_of_texts(texts)
+    assert {"Silver", "Motors", "Golden"} <= set(got.others) and got == want and (type(got.others) is Words) == (most == 1)
+    assert {n.piece for t in made_mails(5) for n in pieces(t, fit(texts, got))} == {n.piece for t in made_mails(5) for n in pieces(t, fit(texts, want))}
+    packed = Words(["b", "ä", "a", "b", ""])
+    assert packed == {"", "a", "b", "ä"} and len(packed) == 4 and "c" not in packed and "zz" not in packed and None not in packed and "ä" in packed and "x" not in Words([])
+
+
 def test_names_that_no_other_text_shows(model):
     """A doubtful mention follows the sure one of the same name: only the messages make it a piece."""
     text = "Dear Ayesha,\n\nthe plan is ready, and Ayesha will know.\n\nThanks"

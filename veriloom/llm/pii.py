@@ -13,8 +13,9 @@ context learn to do without it.
 
 No names are given. Word statistics are counted over all texts: a word is a given name if ``LEXICON_TEXTS`` texts show it so in
 headers, introductions or greetings, and it names something else if it closes or opens capitalised runs beside words that
-are no given names. More than ``MOST_NAMES`` given names are an error; of the other words those are kept that make up at
-least 1/``MOST_OTHERS`` of the runs, so there are no more of them than that. A name that no other text shows is still a candidate.
+are no given names. More than ``MOST_NAMES`` given names are an error. The other words are all kept, whatever the number of
+texts: what a word counts as does not depend on how many others there are. Beyond ``MOST_OTHERS`` they are held packed
+(``Words``), at a word's own bytes and eight more. A name that no other text shows is still a candidate.
 
 Edge cases: null and empty texts have no pieces; a piece never crosses a line end; pieces are given as they stand in the
 text, look-alike characters included; a name that is only a title, a brand or a role is no piece; equal pieces of a text
@@ -28,14 +29,16 @@ import functools
 import re
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Set
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +52,10 @@ TRAIN_TEXTS = 1500
 LEXICON_TEXTS = 2
 #: Names that a lexicon may have beside the fixed ones.
 MOST_NAMES = 500_000
-#: A word that is no name opens or closes so many runs at least, and at least 1/MOST_OTHERS of all of them.
-LEAST_OTHER, MOST_OTHERS = 5, 200_000
+#: A word that is no name opens or closes so many runs at least.
+LEAST_OTHER = 5
+#: Most words that are held as a set; more are held packed, with the same answers.
+MOST_OTHERS = 200_000
 #: Share of training nodes whose word statistics are hidden.
 HIDDEN = 0.3
 #: Edges: neighbours on a line of one kind and of two, equal candidates, those that share a surname or differ by a slip.
@@ -263,13 +268,56 @@ class Node:
     belief: float = 0.0
 
 
+class Words(Set):
+    """A set of words in one sorted string of bytes, for many of them."""
+
+    def __init__(self, words: Iterable[str]):
+        coded = sorted({w.encode() for w in words})
+        self._bytes = b"".join(coded)
+        self._ends = np.cumsum([0, *map(len, coded)], dtype=np.int64)
+        self._memo: dict[object, bool] = {}
+
+    def __len__(self) -> int:
+        return len(self._ends) - 1
+
+    def __iter__(self) -> Iterator[str]:
+        return (self._bytes[a:b].decode() for a, b in pairwise(self._ends.tolist()))
+
+    def __contains__(self, word: object) -> bool:
+        got = self._memo.get(word)
+        if got is None:
+            if len(self._memo) >= 100_000:
+                self._memo.clear()
+            got = self._memo[word] = self._has(word)
+        return got
+
+    def _has(self, word: object) -> bool:
+        if not isinstance(word, str):
+            return False
+        coded = word.encode()
+        at = bisect_left(range(len(self)), coded, key=self._at)
+        return at < len(self) and self._at(at) == coded
+
+    def _at(self, k: int) -> bytes:
+        return self._bytes[self._ends[k] : self._ends[k + 1]]
+
+    def __hash__(self) -> int:
+        return self._hash()
+
+
+def _held(words: pa.ChunkedArray, less: frozenset[str] = frozenset()) -> Set[str]:
+    """Words less some others, as a set or packed."""
+    each = (w for chunk in words.iterchunks() for w in chunk.to_pylist() if w not in less)
+    return frozenset(each) if len(words) <= MOST_OTHERS else Words(each)
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Given names, words that follow them in capitalised runs, and words that open or close such runs and are no names."""
 
     given: frozenset[str] = frozenset()
-    others: frozenset[str] = frozenset()
-    surnames: frozenset[str] = frozenset()
+    others: Set[str] = frozenset()
+    surnames: Set[str] = frozenset()
     memo: dict[str, tuple[int, int] | None] = field(default_factory=dict, compare=False, repr=False)  # of name_in_run()
 
 
@@ -648,15 +696,14 @@ def lexicon_of(docs: DataFrame, text: str) -> Lexicon:
     if len(given) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} given names in the texts")
     runs = found.where("last is not null").join(F.broadcast(shown.withColumn("named", F.lit(1))), "first", "left").withColumn("named", F.coalesce("named", F.lit(0)))
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_OTHER, -(-total // MOST_OTHERS))
     ends = runs.select(F.col("last").alias("word"), "n", "named").unionByName(runs.where("named = 0").select(F.col("first").alias("word"), "n", "named"))
     counts = ends.groupBy("word").agg(F.sum(F.when(F.col("named") == 0, F.col("n")).otherwise(0)).alias("other"), F.sum(F.col("n") * F.col("named")).alias("surname"))
-    other = (F.col("other") >= least) & (F.col("other") >= 4 * F.col("surname"))
-    surname = (F.col("surname") >= max(LEXICON_TEXTS, -(-total // MOST_OTHERS))) & (F.col("other") < 4 * F.col("surname"))
-    found = counts.where(other | surname).select("word", other.alias("other")).collect()  # 3 * MOST_OTHERS at most
+    other = (F.col("other") >= LEAST_OTHER) & (F.col("other") >= 4 * F.col("surname"))
+    surname = (F.col("surname") >= LEXICON_TEXTS) & (F.col("other") < 4 * F.col("surname"))
+    kept = counts.where(other | surname).select("word", other.alias("other")).toArrow()
     names = _written(given)
-    return Lexicon(names, frozenset(r[0] for r in found if r[1]) - names, frozenset(r[0] for r in found if not r[1]))
+    is_other = kept.column("other")
+    return Lexicon(names, _held(kept.column("word").filter(is_other), names), _held(kept.column("word").filter(pc.invert(is_other))))
 
 
 def lexicon_of_texts(texts: list[str]) -> Lexicon:
