@@ -271,3 +271,16 @@ def test_p6_outputs(spark, docs, document, schemas):
 def test_names_shown():
     assert names_shown("\n\n > From: Zora Quist <z@b.example>\n| Ylva Quist wrote on 1 May\n\nHi Xenia,\n") == {"Zora", "Ylva", "Xenia"}
     assert names_shown("\n> " * 200_000 + "De : x") == set()
+
+
+def test_plain_lines_meet_no_patterns(monkeypatch):
+    """Lines that show neither a colon at hand nor a rule, quote mark or address are settled without the long patterns."""
+    from veriloom.llm import email_parts as E
+
+    class Never:
+        def match(self, text, *_):
+            raise AssertionError(text)
+
+    for name in ("_FROM", "_SEPARATOR", "_RULE", "_INTRO", "_INTRO_START", "_INTRO_END", "_PREFIX"):
+        monkeypatch.setattr(E, name, Never())
+    assert E.not_new("The plan is ready\nOn 3 May we meet at 10.\n\nIt is a > b here, <b>bold</b> and fine") == []

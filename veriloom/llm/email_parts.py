@@ -95,7 +95,6 @@ _INTRO = re.compile(
 _INTRO_END = re.compile(rf"<[^<>\s]+@[^<>\s]+>\s*(?:{_VERB})?\s*:$", re.I)
 _INTRO_START = re.compile(r"(?:on|am|le|el|em|il|op|den|dnia|в)\s.*\d", re.I)
 _SEPARATOR = re.compile(r"(?:-{2,}|_{2,}|={2,}|\*{2,})?\s*(?:original[\s-]+(?:message|appointment|nachricht)|ursprüngliche\s+nachricht|originalnachricht|forwarded\s+(?:message|by.*)|begin\s+forwarded\s+message|weitergeleitete\s+nachricht|mensaje\s+(?:original|reenviado)|mensagem\s+(?:original|encaminhada)|message\s+(?:d'origine|original|transféré)|messaggio\s+(?:originale|inoltrato)|oorspronkelijk\s+bericht|исходное\s+сообщение|пересылаемое\s+сообщение|元のメッセージ|転送メッセージ)\s*:?\s*(?:-{2,}|_{2,}|={2,}|\*{2,})?$", re.I)
-_DASHED = re.compile(r"(?:-{2,}|_{2,}|={2,}|\*{2,}).*|.*(?:-{2,}|:)$")
 _FROM = re.compile(r"\*?(?:from|von|de|da|van|от|от кого|差出人|lähettäjä|från|fra|od)\s?\*?[:：]\*?\s*\S", re.I)
 _HEADER = re.compile(r"\*?(?:sent|date|to|cc|bcc|subject|reply-to|importance|gesendet|datum|an|betreff|kopie|envoyé|à|objet|date d'envoi|enviado|enviada(?: em)?|fecha|data|para|asunto|assunto|inviato|oggetto|verzonden|aan|onderwerp|отправлено|дата|кому|тема|копия|送信日時|日時|宛先|件名|skickat|till|ämne)\s?\*?[:：]", re.I)
 _RULE = re.compile(r"[-_=*]{4,}$")
@@ -145,6 +144,11 @@ _NOTICE = re.compile(
 )
 
 
+def _dashed(text: str) -> bool:
+    """Whether a line is ruled at its beginning or its end, or ends with a colon."""
+    return text.startswith(("--", "__", "==", "**")) or text.endswith(("--", ":"))
+
+
 def _content(line: str) -> str:
     return line.strip()
 
@@ -184,7 +188,8 @@ def _signature_like(lines: list[str]) -> bool:
 
 def _header_block(lines: list[str], at: int) -> int:
     """The line after a block of message headers that begins at a line, or the line itself if there is none."""
-    if not _FROM.match(lines[at].strip()):
+    first = lines[at].strip()
+    if not (":" in first or "：" in first) or not _FROM.match(first):
         return at
     end, more = at + 1, 0
     while end < len(lines) and end - at < 10:
@@ -201,7 +206,7 @@ def _marks(lines: list[str]) -> list[bool]:
     n = len(lines)
     out = [False] * n
     blank = [not x.strip() for x in lines]
-    arrow = [bool(_PREFIX.match(x)) for x in lines]
+    arrow = [">" in x[:4] and _PREFIX.match(x) is not None for x in lines]
     for i in range(n):
         if arrow[i] and _COMPARISON.match(lines[i]) and (i == 0 or blank[i - 1]) and (i + 1 == n or blank[i + 1]):
             near = [arrow[j] for j in range(max(0, i - 3), min(n, i + 4)) if j != i]
@@ -227,7 +232,7 @@ def _marks(lines: list[str]) -> list[bool]:
             continue
         # lines that introduce an earlier message
         start, k = i, i
-        if (_SEPARATOR.match(text) and _DASHED.match(text)) or (_RULE.match(text) and i + 1 < n and _header_block(lines, i + 1) > i + 1):
+        if (_dashed(text) and _SEPARATOR.match(text)) or (text[0] in "-_=*" and _RULE.match(text) and i + 1 < n and _header_block(lines, i + 1) > i + 1):
             k = i + 1
             while k < n and blank[k]:
                 k += 1
@@ -238,13 +243,14 @@ def _marks(lines: list[str]) -> list[bool]:
             for wrapped in (0, 1, 2):
                 if i + wrapped >= n or blank[i + wrapped] or arrow[i + wrapped]:
                     break
-                joined = " ".join(x.strip() for x in lines[i : i + wrapped + 1])
+                if lines[i + wrapped].rstrip()[-1] not in ":：":
+                    continue
                 if wrapped and not _INTRO_START.match(text):
                     break
-                if joined[-1:] in ":：" and _INTRO.match(joined):
+                if _INTRO.match(" ".join(x.strip() for x in lines[i : i + wrapped + 1])):
                     opened, end = True, i + wrapped + 1
                     break
-        if not opened and _INTRO_END.match(text):
+        if not opened and text[0] == "<" and _INTRO_END.match(text):
             # an introduction in two lines with an answer between them
             for b in range(i - 1, max(-1, i - 60), -1):
                 if not blank[b] and not out[b] and _INTRO_START.match(lines[b].strip()) and not _SENTENCE_END.search(lines[b].strip()) and re.search(r"\d{4}", lines[b]):
@@ -324,7 +330,7 @@ def not_new(text: str | None) -> list[int]:
             line = lines[k]
             if not line.strip():
                 continue
-            if _closing(line) or (_DELIMITER.match(line) and k + 1 < j and lines[k + 1].strip()):
+            if _closing(line) or (line[0] in "-—_=~*" and _DELIMITER.match(line) and k + 1 < j and lines[k + 1].strip()):
                 if _signature_like(lines[k + 1 : j]):
                     for x in range(k, j):
                         out[x] = True
